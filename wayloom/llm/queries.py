@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat_format, url_filter
+from . import chat_format, decontaminate, url_filter
 
 QUERIES = {
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_url_filter": url_filter.op9_url_filter,
 }
 SQL = {
+    "op3_decontaminate": decontaminate.OP3_SQL,
     "op8_chat_format": chat_format.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
 }
