@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, simhash, url_filter
+from . import chat_format, decontaminate, language_id, simhash, url_filter
 
 QUERIES = {
+    "op10_language_id": language_id.op10_language_id,
     "op2_simhash": simhash.op2_simhash,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op8_chat_format": chat_format.op8_chat_format,
