@@ -125,8 +125,8 @@ def shingle_counts(documents: DataFrame, windows) -> np.ndarray:
     return out
 
 
-def _block_hits(documents: DataFrame, windows, prefixes) -> DataFrame:
-    """doc_id, n_words, hit (merged [start, end) word ranges as a flat list), items."""
+def _block_hits(documents: DataFrame, windows, prefixes, clean_only: bool = False) -> DataFrame:
+    """doc_id, n_words, hit (merged [start, end) word ranges as a flat list), items; or the rows of ``documents`` without a hit."""
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = windows.value
@@ -154,12 +154,17 @@ def _block_hits(documents: DataFrame, windows, prefixes) -> DataFrame:
                         if all(data[starts[begin + i] : stops[begin + i]] == x for i, x in enumerate(words)):
                             marks.setdefault(d, []).append((begin - low, end - low))
                             items.setdefault(d, set()).update(w.items[window])
+            if clean_only:
+                yield batch.filter(pa.array([d not in marks for d in range(len(n_words))], pa.bool_()))
+                continue
             merged = [_merge(marks.get(d, ())) for d in range(len(n_words))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(merged, pa.list_(pa.int64())), pa.array([sorted(items.get(d, ())) for d in range(len(n_words))], pa.list_(pa.string()))],
                 names=["doc_id", "n_words", "hit", "items"],
             )
 
+    if clean_only:
+        return documents.mapInArrow(hits, documents.schema)
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(hits, "doc_id bigint, n_words bigint, hit array<bigint>, items array<string>")
 
 
@@ -218,6 +223,17 @@ def contamination(
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "hit")
 
 
+def decontaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``documents``, whole, in which no window of any item occurs. Nothing is shuffled."""
+    sc = documents.sparkSession.sparkContext
+    kept = documents
+    for items in _blocks(benchmark, block_bytes):
+        windows = Windows(items, size, shingle)
+        sent = sc.broadcast(windows)
+        kept = _block_hits(kept, sent, sc.broadcast(windows.prefixes(shingle_counts(documents, sent))), clean_only=True)
+    return kept
+
+
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")

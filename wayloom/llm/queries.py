@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, simhash, url_filter
+from . import chat_format, decontaminate, language_id, mixing, secret_scan, simhash, url_filter
 
 QUERIES = {
+    "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op7_mixing": mixing.op7_mixing,
     "op10_language_id": language_id.op10_language_id,
     "op2_simhash": simhash.op2_simhash,
     "op3_decontaminate": decontaminate.op3_decontaminate,
@@ -12,6 +14,7 @@ QUERIES = {
     "op9_url_filter": url_filter.op9_url_filter,
 }
 SQL = {
+    "op7_mixing": mixing.OP7_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op8_chat_format": chat_format.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
