@@ -77,14 +77,18 @@ def codewords(n: int) -> np.ndarray:
     return best
 
 
-def fit_bits(x: np.ndarray, y: np.ndarray, steps: int = 200, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regressions, one for each column of ``y`` (-1, 1), by Adam on the whole sample."""
-    w, c = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+def fit_bits(x: np.ndarray, y: np.ndarray, steps: int = 200, ridge: float = 1e-4, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic regressions, one for each column of ``y`` (-1, 1), by Adam on the whole sample.
+
+    The ridge pulls to ``start`` (else to zero), so a feature that the sample lacks keeps its weight there.
+    """
+    first = np.zeros((x.shape[1], y.shape[1]), np.float32) if start is None else start.astype(np.float32)
+    w, c = first.copy(), np.zeros(y.shape[1], np.float32)
     m = [np.zeros_like(w), np.zeros_like(c)]
     v = [np.zeros_like(w), np.zeros_like(c)]
     for t in range(1, steps + 1):
         g = -y / (1 + np.exp(np.clip(y * (x @ w + c), -30, 30))) / len(x)
-        for k, (p, d) in enumerate(((w, x.T @ g + ridge * w), (c, g.sum(axis=0)))):
+        for k, (p, d) in enumerate(((w, x.T @ g + ridge * (w - first)), (c, g.sum(axis=0)))):
             m[k] = 0.9 * m[k] + 0.1 * d
             v[k] = 0.99 * v[k] + 0.01 * d * d
             p -= 0.3 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)

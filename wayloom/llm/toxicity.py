@@ -24,11 +24,18 @@ from .language_id import fit_bits, in_fold
 from .shared import written
 from .words import ALNUM, buffer_of, slices, word_bounds
 
-SEED_TERMS = ("idiot", "moron", "scum", "stupid", "loser", "worthless", "pathetic", "disgusting", "trash", "clown", "imbecile", "bastard", "bitch", "asshole", "fuck", "shit", "cunt", "whore", "retard")
+SEED_TERMS = ("idiot", "moron", "scum", "stupid", "loser", "worthless", "pathetic", "disgusting", "trash", "clown", "imbecile", "bastard", "bitch", "asshole", "fuck", "shit", "cunt", "retard")
+#: Weights before any label is seen, in the order of COUNTS.
+PRIOR = (1.0, 0.5, 1.0, 0.0, 0.3, 5.0, 3.0, 0.5)
+PRIOR_BIAS = -4.0
+#: A word one error from a term that stands in so many clean documents of the sample is a word of its own.
+ORDINARY = 2
 ADDRESS = frozenset(b"you your yours youre u ur they them these those he she him her everyone".split())
 REPORT = frozenset(b"said says say quoted quote wrote writes called calls word term phrase cited cites reported mentions mentioned slur".split())
 #: Rows of each label that terms and weights are learned on, about.
 TOXIC_ROWS, CLEAN_ROWS = 1500, 3000
+#: A term stands in at least this share of the toxic documents: words of one text and its copies teach nothing.
+TERM_SHARE = 0.02
 MOST_TERMS = 150
 MIN_ODDS, STRONG_ODDS = 8.0, 40.0
 WINDOW = 6
@@ -116,6 +123,8 @@ class Lexicon:
         self.table = np.array([rows[k] for k in range(len(numbers))], np.int32)
         self.accept = np.array([accept[k] for k in range(len(numbers))], np.int8)
 
+        self.ordinary: frozenset[bytes] = frozenset()
+
     def find(self, buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words that a term accepts, and the kinds."""
         found, kinds = [], []
@@ -162,6 +171,8 @@ def context_counts(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
     data = buf.tobytes()
     docs = np.searchsorted(first, words, side="right") - 1
     for w, kind, d in zip(words.tolist(), kinds.tolist(), docs.tolist()):
+        if kind == 3 and data[starts[w] : stops[w]] in lexicon.ordinary:
+            continue
         lo, hi = max(int(first[d]), w - WINDOW), min(int(first[d + 1]), w + WINDOW + 1)
         near = {data[starts[i] : stops[i]] for i in range(lo, hi) if i != w}
         before, after = data[starts[lo] : starts[w]], data[stops[w] : stops[hi - 1]]
@@ -208,7 +219,7 @@ def learned_terms(sample: DataFrame, toxic: int, clean: int) -> list[tuple[bytes
             part = keys[at : at + 20000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([seen[1][k] for k in part], pa.int64()), pa.array([seen[0][k] for k in part], pa.int64())], names=["term", "t", "c"])
 
-    least = max(4, int(0.004 * toxic))
+    least = max(5, int(TERM_SHARE * toxic))
     counts = sample.mapInArrow(counted, "term binary, t bigint, c bigint").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odds = ((F.col("t") + 0.1) / F.lit(toxic + 1.0)) / ((F.col("c") + 0.5) / F.lit(clean + 1.0))
     top = counts.filter((F.col("t") >= least) & (odds >= MIN_ODDS)).withColumn("odds", odds).orderBy((F.col("t") * F.log("odds")).desc(), F.length("term").desc(), "term").limit(4 * MOST_TERMS).collect()
@@ -223,6 +234,25 @@ def learned_terms(sample: DataFrame, toxic: int, clean: int) -> list[tuple[bytes
     return out
 
 
+def ordinary_words(clean: DataFrame, lexicon: Lexicon) -> frozenset[bytes]:
+    """Words of clean documents that are one error from a term, and stand in at least ORDINARY of them."""
+    sent = clean.sparkSession.sparkContext.broadcast(lexicon)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in slices(batches):
+            buf, ends = buffer_of(lowered(batch.column("text").to_pylist()))
+            starts, stops, first = word_bounds(buf, ends, _IS_WORD)
+            words, kinds = sent.value.find(buf, starts, stops)
+            docs, data = np.searchsorted(first, words, side="right"), buf.tobytes()
+            seen.update({(d, data[starts[w] : stops[w]]) for w, k, d in zip(words.tolist(), kinds.tolist(), docs.tolist()) if k == 3})
+            one = Counter(w for _, w in seen)
+            seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(one), pa.binary()), pa.array(list(one.values()), pa.int64())], names=["word", "n"])
+
+    return frozenset(bytes(r.word) for r in clean.mapInArrow(counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= ORDINARY).collect())
+
+
 def fit(documents: DataFrame, labels: DataFrame, training, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model:
     """A model of the labelled documents where ``training`` (a condition on doc_id) holds.
 
@@ -232,7 +262,7 @@ def fit(documents: DataFrame, labels: DataFrame, training, toxic_rows: int = TOX
     marked = labels.filter(training & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     seeds = [(t.encode(), True, 1) for t in SEED_TERMS]
-    by_rule = Model(Lexicon(seeds), np.array([3.0, 1.0, 1.0, -0.5, 0.5, 2.0, 0.5, 0.1]), -2.5)
+    by_rule = Model(Lexicon(seeds), np.array(PRIOR), PRIOR_BIAS)
     if not total.get(0) or not total.get(1):
         return by_rule
     most = 1 << 31
@@ -246,6 +276,7 @@ def fit(documents: DataFrame, labels: DataFrame, training, toxic_rows: int = TOX
     terms = learned_terms(sample.select("text", "toxic"), n[1], n[0])
     known = {t for t, _, _ in terms}
     lexicon = Lexicon(terms + [s for s in seeds if s[0] not in known])
+    lexicon.ordinary = ordinary_words(sample.filter("toxic = 0").select("text"), lexicon)
     sent = documents.sparkSession.sparkContext.broadcast(lexicon)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +286,7 @@ def fit(documents: DataFrame, labels: DataFrame, training, toxic_rows: int = TOX
 
     got = sorted(sample.withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(made, "doc_id bigint, toxic int, x array<double>").collect(), key=lambda r: (r.doc_id, r.x))
     x, y = np.array([r.x for r in got], np.float32), np.array([[1.0 if r.toxic else -1.0] for r in got], np.float32)
-    w, c = fit_bits(x, y, steps=400)
+    w, c = fit_bits(x, y, steps=400, ridge=1e-3, start=np.array(PRIOR)[:, None])
     return Model(lexicon, w[:, 0].astype(np.float64), float(c[0]))
 
 
