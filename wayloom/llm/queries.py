@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, mixing, secret_scan, simhash, toxicity, url_filter
+from . import chat_format, decontaminate, language_id, mixing, secret_scan, simhash, token_counts, toxicity, url_filter
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_mixing": mixing.op7_mixing,
