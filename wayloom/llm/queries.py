@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, mixing, secret_scan, simhash, token_counts, toxicity, url_filter
+from . import ann, chat_format, decontaminate, language_id, mixing, secret_scan, simhash, token_counts, toxicity, url_filter
 
 QUERIES = {
+    "op4_nearest": ann.op4_nearest,
     "op1_token_counts": token_counts.op1_token_counts,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_secret_scan": secret_scan.op6_secret_scan,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_url_filter": url_filter.op9_url_filter,
 }
 SQL = {
+    "op4_nearest": ann.OP4_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op8_chat_format": chat_format.OP8_SQL,
