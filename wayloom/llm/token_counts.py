@@ -145,7 +145,7 @@ class TokenTree:
 
 
 _PRIVATE = re.compile(
-    r"[\w.+-]+@[\w-]+\.[\w.-]*\w"  # mail addresses
+    r"(?<![\w.+-])[\w.+-]+@[\w-]+\.[\w.-]*\w"  # mail addresses, from where a run begins: a long word is passed once
     r"|\b\d{1,3}(?:\.\d{1,3}){3}\b"  # IPv4 addresses
     r"|\b[0-9a-fA-F]{32,64}\b"  # keys and digests
     r"|\b(?:\d[ -]?){13,16}\b",  # card numbers
