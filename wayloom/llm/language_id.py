@@ -14,6 +14,7 @@ or doc_id.
 from __future__ import annotations
 
 import itertools
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -152,10 +153,18 @@ def fit(documents: DataFrame, training, per_language: int = PER_LANGUAGE) -> Mod
                 [batch.column("doc_id").filter(pa.array(some)), batch.column("lang").filter(pa.array(some)), pa.array([r.tobytes() for r in x[some]], pa.binary())], names=["doc_id", "lang", "x"]
             )
 
-    got = sample.withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(made, "doc_id bigint, lang string, x binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["x"]))
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, DIM), np.float32)
-    return Model(x, [r["lang"] for r in got])
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, x = [], []
+        for batch in batches:
+            labels += batch.column("lang").to_pylist()
+            x += [np.frombuffer(v, np.float16) for v in batch.column("x").to_pylist()]
+        model = Model(np.stack(x).astype(np.float32) if x else np.zeros((0, DIM), np.float32), labels)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # the sample is bounded, so one task fits the model; the driver gets the weights alone
+    rows = sample.withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(made, "doc_id bigint, lang string, x binary")
+    got = rows.repartition(1).sortWithinPartitions("doc_id", "lang", "x").mapInArrow(fitted, "model binary").first()
+    return pickle.loads(got.model) if got else Model(np.zeros((0, DIM), np.float32), [])
 
 
 def identify(documents: DataFrame, model: Model, ambiguous: float = AMBIGUOUS) -> DataFrame:
