@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayloom.llm import decontaminate, language_id, mixing, secret_scan, simhash
+from wayloom.llm import decontaminate, jaccard, language_id, mixing, secret_scan, simhash
+from wayloom.llm.components import connected_components
 from wayloom.llm.shared import written
 
 
@@ -19,9 +20,14 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group. Documents without an id all stay."""
-    stay = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id IS NOT NULL").join(stay, "doc_id").select(*docs.columns)
+    """The document with the smallest doc_id of each near-duplicate group. Documents without an id all stay.
+
+    Two documents are linked if their fingerprints are (op2_simhash), or if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
+    groups = written(simhash.near_duplicates(docs).select("doc_id", "component_id").distinct(), "fingerprint_groups")
+    links = groups.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(jaccard.similar_links(docs.select("doc_id", "text")))
+    hung = connected_components(links).filter("node <> component").select(F.col("node").alias("doc_id"))
+    kept = docs.filter("doc_id IS NOT NULL").join(hung, "doc_id", "left_anti").select(*docs.columns)
     # rows that share an id are one group: the first by text stays
     first = kept.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter("_n = 1").drop("_n")
     return first.unionByName(docs.filter("doc_id IS NULL"))
