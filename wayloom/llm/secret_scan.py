@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, then a random forest that removes false positives.
 
-Candidates are runs of 16 to 512 key-like characters with enough variety. Each becomes a vector: length, character
+Candidates are runs of 16 or more key-like characters with enough variety, and runs of any length that a secret word is
+tied to (password=, token: ); a run ends at an inner '=', so that a key's name stands before the candidate. Each becomes a vector: length, character
 transitions (between lower, upper, digit and other, and those that a bigram table finds usual in prose), dictionary coverage,
 whether it is part of a path, URL or e-mail address, and what the words before it say. The forest (Spark ML) is trained
 on labelled findings; ``labelled_findings`` makes the bundled set from known key formats and their usual look-alikes, with a
@@ -25,7 +26,11 @@ from pyspark.sql import functions as F
 from .shared import shared_folder
 from .words import slices
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-=.])[A-Za-z0-9+/_\-.=]{16,512}(?![A-Za-z0-9+/_\-=.])")
+#: A run, with base64's padding if nothing key-like follows that.
+_RUN = r"(?<![A-Za-z0-9+/_\-.])[A-Za-z0-9+/_\-.]{%s}(?![A-Za-z0-9+/_\-.])(?:={1,2}(?![A-Za-z0-9+/_\-.=]))?"
+CANDIDATE = re.compile(_RUN % "14,")
+TIED = re.compile(r"(?:[:=>]|\bis)\s*[\"'`]?(" + _RUN % "1," + ")")
+SHORTEST = 16
 CONTEXT = 40
 THRESHOLD = 0.5
 MASK = "[SECRET]"
@@ -74,21 +79,36 @@ def describe(value: str, before: str, after: str) -> list[float]:
 
 
 def candidates_of(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of candidates: runs with a digit next to letters, or mixed case; a plain word, number or ruler isn't one."""
+    """(start, end) of candidates: runs with a digit next to letters, or mixed case; a plain word, number or ruler isn't one.
+
+    What a secret word is tied to is one whatever it is made of.
+    """
+    spans = set()
     for m in CANDIDATE.finditer(text):
         value = m.group().strip(".=-_/") if not m.group().endswith("=") else m.group().lstrip(".-_/=")
-        if len(value) < 16:
+        if len(value) < SHORTEST:
             continue
         letters = any(c.isalpha() for c in value)
         digits = sum(c.isdigit() for c in value)
         mixed = any(c.islower() for c in value) and any(c.isupper() for c in value[1:])
         if letters and (digits >= 2 or mixed) and len(set(value)) >= 8:
             at = m.start() + m.group().index(value)
-            yield at, at + len(value)
+            spans.add((at, at + len(value)))
+    for m in TIED.finditer(text):
+        value = m.group(1).rstrip(".")
+        if value and _SECRET_WORD.search(text[max(0, m.start(1) - CONTEXT) : m.start(1)]):
+            spans.add((m.start(1), m.start(1) + len(value)))
+    # a tied run can be found both ways
+    at = 0
+    for s, e in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if s >= at:
+            yield s, e
+            at = e
 
 
 def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = 20) -> DataFrame:
-    """before, value, after, label: ``n`` findings, half of them real, of known formats and their usual look-alikes.
+    """before, value, after, label: ``n`` findings, half of them real, of known formats and their usual look-alikes, and half as many
+    of long, short and tied ones (env files, query strings, unwrapped keys, passwords).
 
     The formats are those of public key documentation; the values are random.
     """
@@ -130,6 +150,30 @@ def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = 20) -> Dat
             if rng.random() < 0.1:  # look-alikes after a telling word
                 head = lead() + " " + prose(2) + " " + head
             rows.append((prose(4) + " " + head, value, rng.choice(("", " ", ".", ",")) + " " + prose(3), 0.0))
+    safe = lambda k: b64(k).rstrip("=").replace("+", "-").replace("/", "_")
+    key = lambda: rng.choice(("token", "access_token", "api_key", "API_KEY", "SECRET_KEY", "auth", "client_secret", "AWS_SECRET_ACCESS_KEY"))
+    tied = lambda: rng.choice(("password", "PASSWORD", "passwd", "pwd", "db_password", "secret", "token", "api_key"))
+    bind = lambda: rng.choice(("=", ": ", " = ", ":", '="', ": '", " is "))
+    query = lambda: "https://" + word() + ".com/" + word() + "?" + rng.choice(("", f"page={rng.randint(1, 99)}&"))
+    plain = lambda: rng.choice((rng.choice(DICTIONARY), word(), word(), "true", "None", "required", "string", "empty", "invalid", "optional", str(rng.randint(0, 99))))
+    real = [
+        lambda: (rng.choice(("", "export ", prose(3) + "\n")) + key() + "=", rng.choice(real_values)(), rng.choice(("\n", " ", ""))),
+        lambda: (query() + key() + "=", rng.choice(real_values)(), rng.choice(("&", " ", "")) + word()),
+        lambda: (prose(3) + rng.choice((" ", " Bearer ", " token=", "")), "eyJ" + safe(40) + "." + safe(rng.randint(60, 1500)) + "." + safe(rng.choice((32, 256))), " " + prose(2)),
+        lambda: (rng.choice(("-----BEGIN PRIVATE KEY-----\n", "-----BEGIN RSA PRIVATE KEY-----\n", "private_key: ", "secret = ", "key=")), b64(rng.randint(300, 1700)), "\n" + rng.choice(("-----END", ""))),
+        lambda: (prose(3) + " " + tied() + bind(), rng.choice((pick(alnum, rng.randint(6, 15)), word() + pick("0123456789", rng.randint(1, 4)), word().capitalize() + pick(alnum, rng.randint(2, 6)))), rng.choice(("\n", " ", ",", "", "'"))),
+    ]
+    real_values = [lambda: pick(hexa, rng.choice((32, 40, 64))), lambda: pick(alnum, rng.randint(16, 64)), lambda: rng.choice(("sk-", "sk_live_", "ghp_")) + pick(alnum, 36), lambda: b64(rng.randint(18, 48))]
+    fake = [
+        lambda: (query() + rng.choice(("id=", "rev=", "etag=", "hash=", "ref=")), rng.choice((pick(hexa, rng.choice((32, 40))), f"{pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}")), rng.choice(("&", " ")) + word()),
+        lambda: (rng.choice(("see ", "/", "https://example.com/", "")), "/".join(word() for _ in range(rng.randint(20, 250))) + f"/index{rng.randint(2, 99)}.html", " " + prose(2)),
+        lambda: ("", "-".join(word() for _ in range(rng.randint(20, 250))) + str(rng.randint(10, 2030)), " " + prose(2)),
+        lambda: (rng.choice(("PATH=", "title=", "href=", "name=")), "/".join(word() for _ in range(rng.randint(3, 7))) + f"{rng.randint(10, 99)}.html", " " + prose(2)),
+        lambda: (prose(3) + " " + tied() + bind(), plain(), rng.choice((" ", ".", ",", "\n")) + prose(3)),
+        lambda: (prose(3) + " " + tied() + rng.choice((" is ", ": ")), plain(), " " + prose(3)),
+    ]
+    for k in range(n // 2):
+        rows.append((*rng.choice(real if k % 2 else fake)(), float(k % 2)))
     return spark.createDataFrame(rows, "before string, value string, after string, label double")
 
 
