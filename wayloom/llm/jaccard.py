@@ -6,7 +6,7 @@ that are frequent in a sample come last, most frequent at the end: this only kee
 
 * Texts with equal shingle sets are one class, by a 64-bit hash of the set.
 * First every class of a group is held against the group's smallest; then, in groups that are not connected yet, each pair
-  of classes of different components that can reach the similarity by size and position.
+  of classes of different components that can reach the similarity by size.
 * A pair counts once the exact sets of shingles (bytes, no hashes) have the similarity.
 """
 
@@ -27,7 +27,7 @@ from .words import LOWER, NOT_BLANK, buffer_of, joined_hashes, one_text, slices,
 SHINGLE = 5
 NUM, DEN = 4, 5
 #: Texts looked at, and shingles kept, for the order. Neither changes the result.
-SAMPLE, FREQUENT = 20_000, 1 << 16
+SAMPLE, FREQUENT = 4_000, 1 << 16
 
 
 def shingle_hashes(buf: np.ndarray, ends: np.ndarray, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -53,7 +53,7 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _frequent(documents: DataFrame) -> np.ndarray:
     every = max(1, documents.count() // SAMPLE)
     some = documents.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
-    counts = some.mapInArrow(_exploded, "s bigint").groupBy("s").agg(F.count("*").alias("n")).filter("n > 4")
+    counts = some.mapInArrow(_exploded, "s bigint").groupBy("s").agg(F.count("*").alias("n")).filter("n > 2")
     return np.array([r.s for r in counts.orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").collect()], np.int64)
 
 
@@ -121,26 +121,29 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_links(documents: DataFrame) -> DataFrame:
     """Edges (a, b: doc_id) that connect exactly the documents that pairs of similar texts connect. Rows without an id are left out."""
     documents = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    made = written(with_prefixes(documents, _frequent(documents)), "prefixes")
-    classes = made.select("c", "n", "prefix").dropDuplicates(["c"])
-    entries = written(classes.select("c", "n", F.posexplode("prefix").alias("pos", "s")), "entries")
-    heads = entries.groupBy("s").agg(F.min("c").alias("head"), F.max("c").alias("top")).filter("head < top").drop("top")
-    shared = written(entries.join(heads, "s"), "shared")
-    within = shared.select("c").distinct()
-    texts = written(made.join(within, "c", "left_semi").groupBy("c").agg(F.min("text").alias("text")), "texts")
+    frequent = _frequent(documents)
+    made = written(with_prefixes(documents, frequent).drop("text"), "prefixes")
+    # copies of a text count too: a shingle that only they have is dropped with the heads
+    entries = made.select(F.explode("prefix").alias("s"), "c")
+    often = entries.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1").select("s")
+    met = written(entries.join(often, "s").distinct(), "met")
+    heads = met.groupBy("s").agg(F.min("c").alias("head"), F.max("c").alias("top")).filter("head < top").drop("top")
+    shared = written(met.join(heads, "s"), "shared")
+    within = made.select("doc_id", "c", "n").join(shared.select("c").distinct(), "c", "left_semi")
+    own_ids = within.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    needed = documents.join(own_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = written(with_prefixes(needed, frequent).join(own_ids.select("c"), "c", "left_semi").groupBy("c").agg(F.min("text").alias("text"), F.min("n").alias("n")), "texts")
 
     stars = shared.filter("c <> head").select(F.col("head").alias("a"), F.col("c").alias("b")).distinct()
     near = _verified(stars, texts)
     groups = connected_components(near).withColumnRenamed("node", "c")
-    named = shared.join(groups, "c", "left").select("s", "c", "n", "pos", F.coalesce("component", "c").alias("g"))
+    named = shared.join(groups, "c", "left").select("s", "c", F.coalesce("component", "c").alias("g"))
     # a pair with the group's head has been looked at
     open_ = named.groupBy("s").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("s")
-    named = written(named.join(open_, "s", "left_semi"), "open")
-    right = named.select("s", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "pos", "g")])
-    # the first shingle that two similar sets have in common leaves room for the overlap
-    room = f"{DEN + NUM} * (least(n - pos, n2 - pos2)) >= {NUM} * (n + n2)"
+    named = written(named.join(open_, "s", "left_semi").join(texts.select("c", "n"), "c"), "open")
+    right = named.select("s", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "g")])
     size = f"{DEN} * least(n, n2) >= {NUM} * greatest(n, n2)"
-    pairs = named.join(right, "s").filter(f"c < c2 AND g <> g2 AND {size} AND {room}").select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct()
+    pairs = named.join(right, "s").filter(f"c < c2 AND g <> g2 AND {size}").select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct()
     rest = _verified(pairs.join(stars, ["a", "b"], "left_anti"), texts)
 
     # every class by its smallest document, and every document with its class
