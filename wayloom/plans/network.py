@@ -129,10 +129,16 @@ def jump_split(spark, d):
 
 @query(b.with_tables("stops", "pattern_stops") + _LINES + ", st AS (SELECT unnest(range(4)) AS step) SELECT pattern_id, seq_no AS seg_no, CAST(step AS INT) AS step, round(y1 + step / 4.0 * (y2 - y1), 6) AS lat, round(x1 + step / 4.0 * (x2 - x1), 6) AS lng FROM (SELECT *, CAST(row_number() OVER (PARTITION BY pattern_id ORDER BY seq) AS INT) AS seq_no FROM segs WHERE pattern_id % 10 = 3), st")
 def densify(spark, d):
-    """Lines of every tenth pattern with three points put in each segment (a line style of the map view, not a cap on the work: the SQL does the same)."""
+    """Every tenth pattern of ``densify_all``: a part only, as its SQL says."""
     return sp.densified(_segments(spark, d).filter("pattern_id % 10 = 3"), 4).select("pattern_id", "seg_no", "step", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
+@query(b.with_tables("stops", "pattern_stops") + _LINES + ", st AS (SELECT unnest(range(4)) AS step) SELECT pattern_id, seq_no AS seg_no, CAST(step AS INT) AS step, round(y1 + step / 4.0 * (y2 - y1), 6) AS lat, round(x1 + step / 4.0 * (x2 - x1), 6) AS lng FROM (SELECT *, CAST(row_number() OVER (PARTITION BY pattern_id ORDER BY seq) AS INT) AS seq_no FROM segs), st")
+def densify_all(spark, d):
+    """The lines of all patterns with three points put in each segment."""
+    return sp.densified(_segments(spark, d), 4).select("pattern_id", "seg_no", "step", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+
+
 @query("""SELECT o_orderkey, CAST(CASE WHEN st = 'unavailable' THEN 0 WHEN st = 'no_route' THEN CASE WHEN s < 350 THEN greatest(3, floor(s / 80.0 + 0.5)) ELSE floor(8 + s / 120.0 + 0.5) END ELSE greatest(0, floor(greatest(0, n - s) / 70.0
  + CASE WHEN (CASE WHEN s > 0 THEN n / s ELSE 1 END) > 2.2 AND n >= 700 THEN least(18, (n / s - 2.2) * 4) ELSE 0 END + CASE WHEN n > 2500 THEN (n - 2500) / 350.0 ELSE 0 END + CASE WHEN n > 5000 THEN 25 ELSE 0 END + 0.5)) END AS INT) AS penalty FROM (
 SELECT o_orderkey, ['ok', 'no_route', 'unavailable', 'ok'][CAST(o_orderkey % 4 + 1 AS INT)] AS st, CAST(o_custkey % 2000 AS DOUBLE) AS s, CAST(o_custkey % 2000 + o_orderkey % 4000 AS DOUBLE) AS n FROM orders)""")
