@@ -160,7 +160,7 @@ _WAIT = "AND dep + o <= (SELECT min(t0) + 30 FROM start0 s WHERE s.qid = r.qid)"
 @query(b.with_tables(*_RT) + _NEAR + _ND + _EDGES + _OFFM + _START + """, shift AS (SELECT unnest([0, 20, 40]) AS m), start1 AS (SELECT qid * 10 + m // 20 AS qid, stop_id, arrival + m AS arrival FROM start0, shift)""" + _round_sql(1, "start1", "start1") + _TARGETS + """, j AS (SELECT a.qid // 10 AS qid, a.qid % 10 * 20 AS later, min(arrival + fm) AS total FROM nw1 a JOIN tg ON tg.qid = a.qid // 10 AND tg.stop_id = a.stop_id GROUP BY ALL)
 SELECT qid, CAST(later AS INT) AS later, total FROM j WHERE NOT EXISTS (SELECT 1 FROM j z WHERE z.qid = j.qid AND z.later > j.later AND z.total <= j.total)""")
 def raptor_range(spark, d):
-    """Departures over 40 minutes, one ride: those that no later departure beats or equals."""
+    """One ride from three instants (0, 20 and 40 minutes): those that no later one beats or equals. ``raptor_range_all`` tries every departure."""
     starts, targets, windows, timed, edges = _routing(spark, d)
     later = starts.withColumn("m", F.explode(F.array(F.lit(0), F.lit(20), F.lit(40))))
     moved = later.select((F.col("qid") * 10 + F.floor(F.col("m") / 20)).alias("qid"), "stop_id", (F.col("arrival") + F.col("m")).alias("arrival"), (F.col("t0") + F.col("m")).alias("t0"))
@@ -170,6 +170,15 @@ def raptor_range(spark, d):
     return j.join(j.alias("x").join(z, "qid").filter("l2 > later AND t2 <= total").select("qid", "later").distinct(), ["qid", "later"], "left_anti")
 
 
+@query(b.with_tables(*_RT) + _NEAR + _ND + _EDGES + _OFFM + _START + """, reach AS (SELECT s.qid, s.arrival - o.o - w.start AS since, w.stop - w.start AS length, w.headway FROM start0 s JOIN off o ON o.stop_id = s.stop_id AND o.board JOIN win w ON w.pattern_id = o.pattern_id),
+trip AS (SELECT qid, since, headway, unnest(generate_series(greatest(0, ceil(since / headway::DOUBLE))::BIGINT, floor(least(length, since + 40) / headway::DOUBLE)::BIGINT)) AS k FROM reach),
+leave AS (SELECT DISTINCT qid, k * headway - since AS m FROM trip), start1 AS MATERIALIZED (SELECT qid * 41 + m AS qid, stop_id, CAST(arrival + m AS INT) AS arrival FROM start0 JOIN leave USING (qid))""" + _round_sql(1, "start1", "start1") + _TARGETS + """, j AS (SELECT a.qid // 41 AS qid, a.qid % 41 AS later, min(arrival + fm) AS total FROM nw1 a JOIN tg ON tg.qid = a.qid // 41 AND tg.stop_id = a.stop_id GROUP BY ALL)
+SELECT qid, CAST(later AS INT) AS later, total FROM j WHERE NOT EXISTS (SELECT 1 FROM j z WHERE z.qid = j.qid AND z.later > j.later AND z.total <= j.total)""")
+def raptor_range_all(spark, d):
+    """Every departure of the next 40 minutes, one ride: those that no later departure beats or equals."""
+    return rp.range_journeys(*_routing(spark, d), 40)
+
+
 @query(b.with_tables(*_TABLES) + _SEARCH + """, r AS (SELECT qid, pattern_id, route_id, board, alight, score, row_number() OVER (PARTITION BY qid, route_id ORDER BY score, pattern_id, board, alight) AS k FROM dd),
 f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY k = 1 DESC, score, pattern_id, board, alight) AS pick FROM r WHERE k <= 3) SELECT qid, CAST(pick AS INT) AS pick, pattern_id, board, alight FROM f WHERE pick <= 6""")
 def diverse_topk(spark, d):
