@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dropped, written
 from .words import ALNUM, LOWER, buffer_of, joined_hashes, one_text, slices, word_bounds, word_hashes
 
 WINDOW = 10
@@ -125,8 +125,12 @@ def shingle_counts(documents: DataFrame, windows) -> np.ndarray:
     return out
 
 
-def _block_hits(documents: DataFrame, windows, prefixes, clean_only: bool = False) -> DataFrame:
-    """doc_id, n_words, hit (merged [start, end) word ranges as a flat list), items; or the rows of ``documents`` without a hit."""
+def _block_hits(documents: DataFrame, windows, prefixes, clean_only: bool = False, more: bool = False) -> DataFrame:
+    """doc_id, n_words, hit (merged [start, end) word ranges as a flat list), items; or the rows of ``documents`` without a hit.
+
+    Columns hit and items of ``documents``, from blocks before, are taken in; ``more`` keeps the text for the blocks to come.
+    """
+    names = ["doc_id", "n_words", "hit", "items", *["text"] * more]
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = windows.value
@@ -157,15 +161,21 @@ def _block_hits(documents: DataFrame, windows, prefixes, clean_only: bool = Fals
             if clean_only:
                 yield batch.filter(pa.array([d not in marks for d in range(len(n_words))], pa.bool_()))
                 continue
+            if "hit" in batch.schema.names:
+                for d, (ranges, known) in enumerate(zip(batch.column("hit").to_pylist(), batch.column("items").to_pylist())):
+                    if ranges:
+                        marks.setdefault(d, []).extend(zip(ranges[::2], ranges[1::2]))
+                        items.setdefault(d, set()).update(known)
             merged = [_merge(marks.get(d, ())) for d in range(len(n_words))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(merged, pa.list_(pa.int64())), pa.array([sorted(items.get(d, ())) for d in range(len(n_words))], pa.list_(pa.string()))],
-                names=["doc_id", "n_words", "hit", "items"],
+                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(merged, pa.list_(pa.int64())), pa.array([sorted(items.get(d, ())) for d in range(len(n_words))], pa.list_(pa.string())), *[batch.column("text")] * more],
+                names=names,
             )
 
     if clean_only:
         return documents.mapInArrow(hits, documents.schema)
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(hits, "doc_id bigint, n_words bigint, hit array<bigint>, items array<string>")
+    before = [c for c in ("hit", "items") if c in documents.columns]
+    return documents.select(F.col("doc_id").cast("bigint"), "text", *before).mapInArrow(hits, "doc_id bigint, n_words bigint, hit array<bigint>, items array<string>" + ", text string" * more)
 
 
 def _merge(ranges) -> list[int]:
@@ -195,28 +205,22 @@ def contamination(
     (the hit word ranges, start and end in turn).
 
     Words are runs of digits, letters and non-ASCII characters after A-Z became lower case. A null text has no words;
-    items without words or with a null id have no windows; a doc_id that stands in several rows gives a row each when
-    the benchmark is one block. Other columns are ignored.
+    items without words or with a null id have no windows; a doc_id that stands in several rows, or is null, gives a row each.
+    Other columns are ignored. Each block of the benchmark adds to the rows that the block before has written: no key joins them.
     """
     sc = documents.sparkSession.sparkContext
-    parts = []
-    for items in _blocks(benchmark, block_bytes):
+    found, blocks = documents.select("doc_id", "text"), _blocks(benchmark, block_bytes)
+    items = next(blocks)
+    while items is not None:
+        following = next(blocks, None)
         windows = Windows(items, size, shingle)
         sent = sc.broadcast(windows)
         prefixes = sc.broadcast(windows.prefixes(shingle_counts(documents, sent)))
-        parts.append(_block_hits(documents, sent, prefixes))
-    if len(parts) == 1:
-        found = parts[0]
-    else:
-        # a row of each block for every document: only documents with hits need merging
-        merge = F.udf(lambda lists: _merge([(x[i], x[i + 1]) for x in lists for i in range(0, len(x), 2)]), "array<bigint>")
-        parts = [written(p, "hits") for p in parts]
-        hit = parts[0].filter(F.size("items") > 0)
-        for p in parts[1:]:
-            hit = hit.unionByName(p.filter(F.size("items") > 0))
-        hit = hit.groupBy("doc_id").agg(merge(F.collect_list("hit")).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        none = F.array().cast("array<string>")
-        found = parts[0].select("doc_id", "n_words").join(hit, "doc_id", "left").select("doc_id", "n_words", F.coalesce("hit", F.array().cast("array<bigint>")).alias("hit"), F.coalesce("items", none).alias("items"))
+        before, found = found, _block_hits(found, sent, prefixes, more=following is not None)
+        if following is not None:
+            found = written(found, "hits")
+            dropped(before)
+        items = following
     ends = F.filter("hit", lambda x, i: i % 2 == 1)
     begins = F.filter("hit", lambda x, i: i % 2 == 0)
     n_hit = F.aggregate(F.zip_with(ends, begins, lambda e, b: e - b), F.lit(0).cast("bigint"), lambda a, x: a + x)
