@@ -52,7 +52,7 @@ class Lexicon:
     """
 
     def __init__(self, terms: list[tuple[bytes, bool, int]]):
-        children, ends, errors = [{}], [None], [0]
+        children, ends, errors, begun = [{}], [None], [0], [0]
         for text, whole, kind in terms:
             at, allowed = 0, int(whole and len(text) >= 5)
             errors[0] = max(errors[0], allowed)
@@ -62,9 +62,13 @@ class Lexicon:
                     children.append({})
                     ends.append(None)
                     errors.append(0)
+                    begun.append(0)
                 at = children[at][c]
                 errors[at] = max(errors[at], allowed)
-            if ends[at] is None or kind < ends[at][1]:
+            # a word and a beginning can be spelled the same: both stay
+            if not whole:
+                begun[at] = min(begun[at] or kind, kind)
+            elif ends[at] is None or kind < ends[at][1]:
                 ends[at] = (whole, kind, allowed)
         looks = {ord(a): ord(b) for a, b in _LOOK.items()}
         used = sorted({c for t, _, _ in terms for c in t})
@@ -108,8 +112,8 @@ class Lexicon:
                     child = children[n].get(byte_of[c]) if c else None
                     if child is not None and e <= errors[child]:
                         new[child] = min(new.get(child, 9), e)
-                        if e == 0 and ends[child] and not ends[child][0]:
-                            met = ends[child][1]
+                        if e == 0 and begun[child]:
+                            met = begun[child]
                     if e + 1 <= errors[n]:
                         new[n] = min(new.get(n, 9), e + 1)  # a letter too many
                     for child in children[n].values():  # a wrong letter
@@ -224,14 +228,19 @@ def learned_terms(sample: DataFrame, toxic: int, clean: int) -> list[tuple[bytes
     odds = ((F.col("t") + 0.1) / F.lit(toxic + 1.0)) / ((F.col("c") + 0.5) / F.lit(clean + 1.0))
     top = counts.filter((F.col("t") >= least) & (odds >= MIN_ODDS)).withColumn("odds", odds).orderBy((F.col("t") * F.log("odds")).desc(), F.length("term").desc(), "term").limit(4 * MOST_TERMS).collect()
     out: list[tuple[bytes, bool, int]] = []
+    covered: list[tuple[bytes, bool, int]] = []
     for r in top:
         text, whole = bytes(r.term).rstrip(b"\0"), bytes(r.term).endswith(b"\0")
+        kind = 1 if r.odds >= STRONG_ODDS else 2
+        if whole and any(not w and text.startswith(t) for t, w, _ in out):
+            covered.append((text, whole, kind))  # its misspellings aren't covered by the beginning
+            continue
         if any(text.startswith(t) if not w else text == t for t, w, _ in out) or not whole and any(t.startswith(text) for t, _, _ in out):
             continue
-        out.append((text, whole, 1 if r.odds >= STRONG_ODDS else 2))
+        out.append((text, whole, kind))
         if len(out) == MOST_TERMS:
             break
-    return out
+    return out + covered
 
 
 def ordinary_words(clean: DataFrame, lexicon: Lexicon) -> frozenset[bytes]:
@@ -274,7 +283,7 @@ def fit(documents: DataFrame, labels: DataFrame, training, toxic_rows: int = TOX
     if not n.get(0) or not n.get(1):
         return by_rule
     terms = learned_terms(sample.select("text", "toxic"), n[1], n[0])
-    known = {t for t, _, _ in terms}
+    known = {t for t, whole, _ in terms if whole}
     lexicon = Lexicon(terms + [s for s in seeds if s[0] not in known])
     lexicon.ordinary = ordinary_words(sample.filter("toxic = 0").select("text"), lexicon)
     sent = documents.sparkSession.sparkContext.broadcast(lexicon)
