@@ -27,10 +27,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = written(simhash.near_duplicates(docs).select("doc_id", "component_id").distinct(), "fingerprint_groups")
     links = groups.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(jaccard.similar_links(docs.select("doc_id", "text")))
     hung = connected_components(links).filter("node <> component").select(F.col("node").alias("doc_id"))
-    kept = docs.filter("doc_id IS NOT NULL").join(hung, "doc_id", "left_anti").select(*docs.columns)
-    # rows that share an id are one group: the first by text stays
-    first = kept.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter("_n = 1").drop("_n")
-    return first.unionByName(docs.filter("doc_id IS NULL"))
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id")
+    # written first, so that Spark knows their sizes: texts are only shuffled if the ids are too many to broadcast
+    hung, repeated = written(hung, "hung"), written(repeated, "repeated")
+    single = docs.join(hung.unionByName(repeated).distinct(), "doc_id", "left_anti")
+    # rows that share an id are one group: the first by text, then by all columns, stays
+    shared = docs.join(repeated.join(hung, "doc_id", "left_anti"), "doc_id", "left_semi")
+    first = W.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*docs.columns)))
+    one = shared.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    return single.select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

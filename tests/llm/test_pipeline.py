@@ -31,9 +31,20 @@ def _windows(text: str | None) -> set[bytes]:
     return {b" ".join(words[i : i + 10]) for i in range(max(1, len(words) - 9))} if words else set()
 
 
+def _five_words(text: str | None) -> set[tuple]:
+    words = re.findall(rb"[^\x20\x09-\x0D]+", _lowered(text))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def _alike(x: set, y: set) -> bool:
+    return bool(x and y) and 10 * len(x & y) >= 8 * len(x | y)
+
+
 def _first_of_groups(texts: dict[int, str | None]) -> set[int]:
+    """The least id of each group; two texts are linked by their fingerprints, or by a Jaccard similarity of 0.8 of their five-word shingles."""
     ids = sorted(texts)
     fp = {i: _fingerprint(texts[i]) for i in ids}
+    five = {i: _five_words(texts[i]) for i in ids}
     stay, seen = set(), set()
     for i in ids:
         if i in seen:
@@ -43,7 +54,7 @@ def _first_of_groups(texts: dict[int, str | None]) -> set[int]:
         front = [i]
         while front:
             a = front.pop()
-            near = [b for b in ids if b not in seen and (fp[a] ^ fp[b]).bit_count() <= 4]
+            near = [b for b in ids if b not in seen and ((fp[a] ^ fp[b]).bit_count() <= 4 or _alike(five[a], five[b]))]
             seen.update(near)
             front += near
     return stay

@@ -5,8 +5,9 @@ have a shingle in common, whatever the order is; so texts meet by the shingles o
 that are frequent in a sample come last, most frequent at the end: this only keeps the groups small.
 
 * Texts with equal shingle sets are one class, by a 64-bit hash of the set.
-* First every class of a group is held against the group's smallest; then, in groups that are not connected yet, each pair
-  of classes of different components that can reach the similarity by size.
+* First every class of a group is held against the group's head, the class with the fewest shingles that no other text has; then, in
+  groups that are not connected yet, each pair of classes of different components.
+* Only pairs that can reach the similarity by the sizes of their sets, and by how much is left of both after the shingle they meet by, are looked at.
 * A pair counts once the exact sets of shingles (bytes, no hashes) have the similarity.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import written
+from .shared import dropped, written
 from .words import LOWER, NOT_BLANK, buffer_of, joined_hashes, one_text, slices, word_bounds, word_hashes
 
 SHINGLE = 5
@@ -100,6 +101,11 @@ def similar(x: set, y: set) -> bool:
     return DEN * both >= NUM * (len(x) + len(y) - both)
 
 
+def reachable(n: str, i: str, n2: str, i2: str) -> str:
+    """Whether sets of n and n2 shingles that first share the one at places i and i2 (from 0) can be similar: by their sizes, and by what is left after it."""
+    return f"{DEN} * least({n}, {n2}) >= {NUM} * greatest({n}, {n2}) AND {NUM + DEN} * (1 + least({n} - {i} - 1, {n2} - {i2} - 1)) >= {NUM} * ({n} + {n2})"
+
+
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, held = None, set()
     for batch in batches:
@@ -112,44 +118,52 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs of classes (a, b) that are similar."""
+def _verified(pairs: DataFrame, documents: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those of the pairs of classes (a, b) that are similar. Only the texts of a document of each class are fetched."""
+    pairs = written(pairs, "pairs")
+    asked = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    needed = written(reps.join(asked, "c").select("c", F.col("rep").alias("doc_id")), "needed")
+    some = documents.join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = with_prefixes(some, np.zeros(0, np.int64)).join(needed.select("c"), "c", "left_semi").groupBy("c").agg(F.min("text").alias("text"))
+    texts = written(texts, "texts")
     x, y = (texts.select(F.col("c").alias(c), F.col("text").alias(t)) for c, t in (("a", "x"), ("b", "y")))
-    return written(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_checked, "a bigint, b bigint"), "similar")
+    out = written(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_checked, "a bigint, b bigint"), "similar")
+    for df in (pairs, needed, texts):
+        dropped(df)
+    return out
 
 
 def similar_links(documents: DataFrame) -> DataFrame:
-    """Edges (a, b: doc_id) that connect exactly the documents that pairs of similar texts connect. Rows without an id are left out."""
+    """Edges (a, b: doc_id) that connect exactly the documents that pairs of similar texts connect. Rows without an id or a text are left out;
+    an id that stands in several rows stands for all their texts. An empty table gives no rows.
+    """
     documents = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    frequent = _frequent(documents)
-    made = written(with_prefixes(documents, frequent).drop("text"), "prefixes")
-    # copies of a text count too: a shingle that only they have is dropped with the heads
-    entries = made.select(F.explode("prefix").alias("s"), "c")
-    often = entries.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1").select("s")
-    met = written(entries.join(often, "s").distinct(), "met")
-    heads = met.groupBy("s").agg(F.min("c").alias("head"), F.max("c").alias("top")).filter("head < top").drop("top")
-    shared = written(met.join(heads, "s"), "shared")
-    within = made.select("doc_id", "c", "n").join(shared.select("c").distinct(), "c", "left_semi")
-    own_ids = within.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
-    needed = documents.join(own_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = written(with_prefixes(needed, frequent).join(own_ids.select("c"), "c", "left_semi").groupBy("c").agg(F.min("text").alias("text"), F.min("n").alias("n")), "texts")
-
-    stars = shared.filter("c <> head").select(F.col("head").alias("a"), F.col("c").alias("b")).distinct()
-    near = _verified(stars, texts)
+    made = written(with_prefixes(documents, _frequent(documents)).drop("text"), "prefixes")
+    # every class by its smallest document
+    reps = written(made.groupBy("c").agg(F.min("doc_id").alias("rep")), "reps")
+    entries = made.select("c", "n", F.size("prefix").alias("p"), F.posexplode("prefix").alias("i", "s"))
+    several = entries.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("s")
+    met = written(entries.join(several, "s").distinct(), "met")
+    # a group's head is its class with the fewest shingles of its own, so that edited copies meet the text that they are nearest to
+    alone = met.groupBy("c").agg((F.lit(1.0) - F.count("*") / F.max("p")).alias("alone"))
+    shared = written(met.drop("p").join(alone, "c"), "shared")
+    heads = shared.groupBy("s").agg(F.min_by(F.struct("c", "n", "i"), F.struct("alone", "c")).alias("h"))
+    stars = shared.join(heads, "s").filter(f"c <> h.c AND {reachable('n', 'i', 'h.n', 'h.i')}").select(F.col("h.c").alias("a"), F.col("c").alias("b")).distinct()
+    stars = written(stars, "stars")
+    near = _verified(stars, documents, reps)
+
     groups = connected_components(near).withColumnRenamed("node", "c")
-    named = shared.join(groups, "c", "left").select("s", "c", F.coalesce("component", "c").alias("g"))
-    # a pair with the group's head has been looked at
+    named = shared.drop("alone").join(groups, "c", "left").withColumn("g", F.coalesce("component", "c")).drop("component")
+    # a group whose classes are connected has nothing left to find
     open_ = named.groupBy("s").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("s")
-    named = written(named.join(open_, "s", "left_semi").join(texts.select("c", "n"), "c"), "open")
-    right = named.select("s", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "g")])
-    size = f"{DEN} * least(n, n2) >= {NUM} * greatest(n, n2)"
-    pairs = named.join(right, "s").filter(f"c < c2 AND g <> g2 AND {size}").select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct()
-    rest = _verified(pairs.join(stars, ["a", "b"], "left_anti"), texts)
-
-    # every class by its smallest document, and every document with its class
-    least = written(made.groupBy("c").agg(F.min("doc_id").alias("rep")), "reps")
+    named = written(named.join(open_, "s", "left_semi"), "open")
+    right = named.select("s", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "i", "g")])
+    pairs = named.join(right, "s").filter(f"c < c2 AND g <> g2 AND {reachable('n', 'i', 'n2', 'i2')}").select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct()
+    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = _verified(pairs.join(seen, ["a", "b"], "left_anti"), documents, reps)
+
     between = near.unionByName(rest)
     for c in ("a", "b"):
-        between = between.join(least.select(F.col("c").alias(c), F.col("rep").alias(f"{c}_rep")), c)
-    own = made.select("doc_id", "c").join(least, "c").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        between = between.join(reps.select(F.col("c").alias(c), F.col("rep").alias(f"{c}_rep")), c)
+    own = made.select("doc_id", "c").join(reps, "c").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     return own.unionByName(between.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))
