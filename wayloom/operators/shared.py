@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a laptop) gets a local temporary folder.
+    Only a local session without that setting (tests, a laptop) gets a local temporary folder; a cluster without it is an error,
+    since executors would write where nobody else can read.
     """
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="wayloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
