@@ -15,11 +15,11 @@ from __future__ import annotations
 
 import itertools
 import pickle
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,9 @@ PER_LANGUAGE = 500
 #: A score (the winner's share of the softmax over losses) under this is ambiguous.
 AMBIGUOUS = 0.5
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
+#: Rows whose features are made at a time: they are dense.
+ROWS = 256
 
 _FOLD = LOWER.copy()
 _FOLD[[b for b in range(128) if not 97 <= LOWER[b] <= 122]] = 32
@@ -143,10 +145,12 @@ def fit(documents: DataFrame, training, per_language: int = PER_LANGUAGE) -> Mod
         return Model(np.zeros((0, DIM), np.float32), [])
     most = 1 << 31
     bound = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(most, int(most * per_language / n) + 1)))])
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(most)) < bound[F.col("lang")]).select("doc_id", "lang", "text")
+    sample = rows.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(most)) < bound[F.col("lang")])
+    # rows that share an id, or have none, count as one: however many they are, they don't swell the sample
+    sample = sample.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, rows=ROWS):
             x = features(batch.column("text")).astype(np.float16)
             some = np.array([bool(t and _LETTER.search(t)) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
@@ -171,6 +175,7 @@ def identify(documents: DataFrame, model: Model, ambiguous: float = AMBIGUOUS) -
     """``documents`` with lang_pred, score (0 to 1) and ambiguous (boolean) appended; same-named columns are replaced.
 
     A text that is null or without a letter is ``und`` with score 0, and not ambiguous; so is every text if the model knows no language.
+    Repeated rows each get the same prediction; an empty table gives no rows; ties between languages go to the first in alphabetical order.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)
     base = documents.drop("lang_pred", "score", "ambiguous")
@@ -181,7 +186,7 @@ def identify(documents: DataFrame, model: Model, ambiguous: float = AMBIGUOUS) -
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in slices(batches):
+        for batch in slices(batches, rows=ROWS):
             known = np.array([bool(m.languages and t and _LETTER.search(t)) for t in batch.column("text").to_pylist()])
             best, score = m.decode(features(batch.column("text")))
             score = np.where(known, score, 0.0)

@@ -13,12 +13,12 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at a time; a longer text makes a slice of its own.
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 1 << 13
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-LOWER_TABLE = LOWER.tobytes()
 
 
 def byte_class(keep) -> np.ndarray:
@@ -31,8 +31,8 @@ NOT_BLANK = byte_class(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 ALNUM = byte_class(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in order, cut so that a slice holds ``most`` bytes of text or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, cut so that a slice holds at most ``rows`` rows, and ``most`` bytes of text or one row."""
     for batch in batches:
         text = batch.column(column)
         if batch.num_rows == 0:
@@ -41,7 +41,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, base + most, side="right"))))
             yield batch.slice(at, to - at)
             at = to
 
