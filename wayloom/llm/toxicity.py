@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import fit_bits, in_fold
-from .shared import written
+from ..operators.shared import written
 from .words import ALNUM, buffer_of, slices, word_bounds
 
 SEED_TERMS = ("idiot", "moron", "scum", "stupid", "loser", "worthless", "pathetic", "disgusting", "trash", "clown", "imbecile", "bastard", "bitch", "asshole", "fuck", "shit", "cunt", "retard")
@@ -266,7 +266,7 @@ def fit(documents: DataFrame, labels: DataFrame, training, toxic_rows: int = TOX
     """A model of the labelled documents where ``training`` (a condition on doc_id) holds.
 
     About ``toxic_rows`` and ``clean_rows`` of them, chosen by a hash of the id. Without labels of both kinds, only the seed
-    terms are known and weigh by rule. Rows with a null id, label or text teach nothing.
+    terms are known and weigh by rule. Rows with a null id, label or text teach nothing; of rows that share an id, the first text does.
     """
     marked = labels.filter(training & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -278,7 +278,7 @@ def fit(documents: DataFrame, labels: DataFrame, training, toxic_rows: int = TOX
     share = F.when(F.col("toxic") == 1, int(min(1, toxic_rows / total[1]) * most)).otherwise(int(min(1, clean_rows / total[0]) * most))
     chosen = marked.filter(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(most)) < share)
     # at most a few thousand rows (the two parameters), so they are sent to the documents
-    sample = written(documents.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int")), "labelled")
+    sample = written(documents.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", F.col("toxic").cast("int").alias("toxic")).agg(F.min("text").alias("text")).select("doc_id", "text", "toxic"), "labelled")
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return by_rule
@@ -300,7 +300,10 @@ def fit(documents: DataFrame, labels: DataFrame, training, toxic_rows: int = TOX
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out (if there), score (0 to 1), predicted. Null and empty texts have the score of a text without a hit."""
+    """doc_id, held_out, score (0 to 1), predicted. ``held_out`` is the caller's column; other columns are ignored.
+
+    Null and empty texts have the score of a text without a hit. Repeated rows each get the same score; an empty table gives no rows.
+    """
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
