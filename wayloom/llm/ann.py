@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import written
+from ..operators.shared import written
 
 K = 10
 BLOCK = 8192
@@ -187,12 +187,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK
             qi, ki = np.nonzero(np.isfinite(best))
             yield pa.RecordBatch.from_arrays([pa.array(q.ids[qi]), pa.array(best_id[qi, ki]), pa.array(best[qi, ki])], names=["query_id", "vec_id", "score"])
 
-        parts.append(index.select("vec_id", "embedding", "code", "norm", "own").mapInArrow(searched, result))
+        found = index.select("vec_id", "embedding", "code", "norm", "own").mapInArrow(searched, result)
+        if n_blocks > 1:  # a block is done and gone before the next: one broadcast at a time, and no plan of many scans
+            found = written(ranked(found, k), "nearest")
+            sent.destroy()
+        parts.append(found)
     if not parts:
         return spark.createDataFrame([], result).selectExpr("query_id", "1 AS rank", "vec_id", "score").limit(0)
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
+    return ranked(found, k) if n_blocks == 1 else found
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
