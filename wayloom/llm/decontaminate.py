@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, written
-from .words import ALNUM, LOWER, buffer_of, joined_hashes, one_text, slices, word_bounds, word_hashes
+from ..operators.shared import dropped, written
+from .words import ALNUM, LOWER, buffer_of, joined_hashes, slices, word_bounds, word_hashes
 
 WINDOW = 10
 SHINGLE = 3
@@ -36,39 +36,51 @@ BLOCK_BYTES = 8 << 20
 
 
 class Windows:
-    """The distinct windows of a block of items, and their shingles."""
+    """The windows of a block of items as flat arrays: the items' lowered bytes, word bounds and word hashes, and for each window its first word.
+
+    A window takes about 30 bytes beside the items' text, so a block of 8 MB stays under 100 MB on the driver and in a task.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], size: int, shingle: int):
-        owners: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in items:
-            words = one_text(text, ALNUM)
-            if words:
-                width = min(size, len(words))
-                for i in range(len(words) - width + 1):
-                    owners.setdefault(tuple(words[i : i + width]), set()).add(item)
-        self.words = list(owners)
-        self.items = [frozenset(x) for x in owners.values()]
-        self.sizes = sorted({min(shingle, len(w)) for w in self.words})
+        self.names = [name for name, _ in items]
+        ends = np.concatenate(([0], np.cumsum([len(text) for _, text in items]))).astype(np.int64)
+        buf = LOWER[np.frombuffer(b"".join(text for _, text in items), np.uint8)]
+        starts, stops, first = word_bounds(buf, ends, ALNUM)
+        self.hashes = word_hashes(buf, starts, stops)
+        self.data, self.starts, self.stops = buf.tobytes(), starts.astype(np.int32), stops.astype(np.int32)
+        counts = np.diff(first)
+        width = np.minimum(counts, size)
+        n = np.where(counts > 0, counts - width + 1, 0)
+        #: per window: the item, its first word (in the block) and its number of words
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), n)
+        self.begin = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[:-1], n)).astype(np.int32)
+        self.width = np.repeat(width, n).astype(np.int32)
         self.shingle = shingle
-        known: dict[bytes, int] = {}
-        for w in self.words:
-            for x in w:
-                known.setdefault(x, len(known))
-        joined = b"".join(known)
-        ends = np.cumsum([len(x) for x in known]) if known else np.zeros(0, np.int64)
-        hashes = word_hashes(np.frombuffer(joined, np.uint8), np.concatenate(([0], ends[:-1])).astype(np.int64) if known else ends, ends)
-        self.shingles = [joined_hashes(hashes[[known[x] for x in w]], min(shingle, len(w))) for w in self.words]
-        self.all = np.unique(np.concatenate(self.shingles)) if self.words else np.zeros(0, np.uint64)
-
-    def prefixes(self, counts: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-        """The shingles that are some window's rarest (ties: the smaller hash), and for each the (window, offset) it stands for."""
-        found: dict[int, list[tuple[int, int]]] = {}
-        for k, own in enumerate(self.shingles):
+        self.sizes = np.unique(np.minimum(self.width, shingle)).tolist()
+        self.all = np.unique(np.concatenate([np.zeros(0, np.uint64), *(joined_hashes(self.hashes, k) for k in self.sizes)]))
+
+    def prefixes(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each window's rarest shingle (ties: the smaller hash): the distinct hashes, where the windows of each begin, those windows, and the shingle's place in them."""
+        key, place = np.zeros(len(self.begin), np.uint64), np.zeros(len(self.begin), np.int32)
+        for k in self.sizes:
+            own = joined_hashes(self.hashes, k)
             seen = counts[np.searchsorted(self.all, own)]
-            at = min(range(len(own)), key=lambda i: (int(seen[i]), int(own[i])))
-            found.setdefault(int(own[at]), []).append((k, at))
-        keys = sorted(found)
-        return np.array(keys, np.uint64), [found[k] for k in keys]
+            some = np.flatnonzero(np.minimum(self.width, self.shingle) == k)
+            best = np.full(len(some), -1)
+            for at in range(int((self.width[some] - k + 1).max(initial=0))):
+                here = self.begin[some] + at
+                fits = at <= self.width[some] - k
+                here = np.where(fits, here, self.begin[some])
+                better = fits & ((best < 0) | (seen[here] < seen[best]) | ((seen[here] == seen[best]) & (own[here] < own[best])))
+                best = np.where(better, here, best)
+            key[some], place[some] = own[best], best - self.begin[some]
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        keys, at = np.unique(key[order], return_index=True)
+        return keys, np.append(at, len(order)).astype(np.int32), order, place
+
+    def same(self, window: int, words: list[bytes]) -> bool:
+        low = int(self.begin[window])
+        return all(self.data[self.starts[low + i] : self.stops[low + i]] == x for i, x in enumerate(words))
 
 
 class _Sieve:
@@ -118,10 +130,9 @@ def shingle_counts(documents: DataFrame, windows) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["shingle", "n"])
 
-    size = len(windows.value.all)
-    out = np.zeros(size, np.int64)
-    for shingle, n in documents.select("text").mapInArrow(counted, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n")).collect():
-        out[shingle] = n
+    out = np.zeros(len(windows.value.all), np.int64)
+    got = documents.select("text").mapInArrow(counted, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()
+    out[got.column("shingle").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
@@ -134,7 +145,7 @@ def _block_hits(documents: DataFrame, windows, prefixes, clean_only: bool = Fals
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = windows.value
-        keys, stands_for = prefixes.value
+        keys, bounds, order, place = prefixes.value
         sieve = _Sieve(keys)
         for batch in slices(batches):
             buf, starts, stops, first, h = _tokenized(batch)
@@ -146,18 +157,22 @@ def _block_hits(documents: DataFrame, windows, prefixes, clean_only: bool = Fals
             for size in w.sizes:
                 at, key = sieve.find(joined_hashes(h, size))
                 ok = _inside(at, doc_of, size)
-                for p, k in zip(at[ok].tolist(), key[ok].tolist()):
-                    d = int(doc_of[p])
-                    low, high = int(first[d]), int(first[d + 1])
-                    for window, offset in stands_for[k]:
-                        words = w.words[window]
-                        begin = p - offset
-                        end = begin + len(words)
-                        if min(w.shingle, len(words)) != size or begin < low or end > high:
-                            continue
-                        if all(data[starts[begin + i] : stops[begin + i]] == x for i, x in enumerate(words)):
-                            marks.setdefault(d, []).append((begin - low, end - low))
-                            items.setdefault(d, set()).update(w.items[window])
+                at, key = at[ok], key[ok]
+                # every window that a matched shingle is the prefix of, where it would stand
+                n = bounds[key + 1] - bounds[key]
+                window = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[key], n)]
+                begin = np.repeat(at, n) - place[window]
+                width = w.width[window]
+                doc = np.repeat(doc_of[at], n)
+                ok = (np.minimum(width, w.shingle) == size) & (begin >= first[doc]) & (begin + width <= first[doc + 1])
+                for i in range(int(width.max(initial=0))):
+                    here = np.flatnonzero(ok & (width > i))
+                    ok[here] = h[begin[here] + i] == w.hashes[w.begin[window[here]] + i]
+                for d, k, low in zip(doc[ok].tolist(), window[ok].tolist(), begin[ok].tolist()):
+                    high = low + int(w.width[k])
+                    if w.same(k, [data[starts[i] : stops[i]] for i in range(low, high)]):
+                        marks.setdefault(d, []).append((low - int(first[d]), high - int(first[d])))
+                        items.setdefault(d, set()).add(w.names[w.item[k]])
             if clean_only:
                 yield batch.filter(pa.array([d not in marks for d in range(len(n_words))], pa.bool_()))
                 continue
