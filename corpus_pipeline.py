@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayloom.llm import decontaminate, jaccard, language_id, mixing, secret_scan, simhash
-from wayloom.llm.components import connected_components
-from wayloom.llm.shared import written
+from wayloom.operators.components import connected_components
+from wayloom.operators.shared import written
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

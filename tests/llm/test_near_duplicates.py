@@ -7,6 +7,7 @@ import random
 
 import corpus_pipeline
 from wayloom.llm import jaccard
+from wayloom.operators.components import connected_components
 
 
 def _shingles(text: str) -> set[tuple]:
@@ -41,7 +42,7 @@ def test_jaccard_pairs_in_one_group(spark):
         for a, b in alike:
             root[a] = root[b] = min(root[a], root[b])
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    got = jaccard.connected_components(jaccard.similar_links(docs)).collect()
+    got = connected_components(jaccard.similar_links(docs)).collect()
     assert {i: i for i in texts} | {r.node: r.component for r in got} == root
     # the stage keeps at most one document of each such group
     stay = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}

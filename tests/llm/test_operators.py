@@ -133,7 +133,7 @@ def test_simhash_links(spark, split_rows):
     rows = [(i, x - (1 << 64) if x >> 63 else x) for i, x in fps.items()]
     edges = [tuple(r) for r in simhash.link_edges(spark.createDataFrame(rows, "rep bigint, fp bigint"), split_rows=split_rows).collect()]
     assert all((fps[a] ^ fps[b]).bit_count() <= 12 for a, b in edges)
-    from wayloom.llm.components import connected_components
+    from wayloom.operators.components import connected_components
 
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert {i: got.get(i, i) for i in fps} == groups(fps)

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from wayloom.llm import language_id, mixing, secret_scan
-from wayloom.llm.shared import written
+from wayloom.operators.shared import written
 
 from ..oracle import sql_rows
 

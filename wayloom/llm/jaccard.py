@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .shared import dropped, written
+from ..operators.components import connected_components
+from ..operators.shared import dropped, written
 from .words import LOWER, NOT_BLANK, buffer_of, joined_hashes, one_text, slices, word_bounds, word_hashes
 
 SHINGLE = 5

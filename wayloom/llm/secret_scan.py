@@ -23,7 +23,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder
+from ..operators.shared import shared_folder
 from .words import slices
 
 #: A run, with base64's padding if nothing key-like follows that.

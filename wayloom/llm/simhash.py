@@ -30,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .shared import written
+from ..operators.components import connected_components
+from ..operators.shared import written
 from .words import LOWER, NOT_BLANK, buffer_of, slices, word_bounds
 
 SHINGLE = 4
