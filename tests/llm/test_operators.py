@@ -298,6 +298,8 @@ def test_mixing(spark):
         have = (got.tokens * got.probability).groupby(got[m]).sum()
         if (inside[m].value_counts() == got[m].value_counts()).all():  # nothing was taken whole
             assert np.allclose(have / have.sum(), want / want.sum(), atol=0.01)
+    cells = spark.createDataFrame(got.groupby(["source", "lang", "topic"], as_index=False).tokens.sum())
+    assert mixing.residual(mixing.rake(cells)) < 1e-6  # after the production number of rounds
     assert mixing.calibrated(documents(spark, [])).count() == 0
     odd = {r.doc_id: r for r in mixing.calibrated(documents(spark, ODD)).collect()}
     assert len(odd) == len(ODD) and not odd[0].kept and not odd[1].kept and odd[0].probability == 0 and odd[0].score == "mine"

@@ -12,6 +12,7 @@ no more than another. Cells are a table of sums: as many as there are sources x
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.shared import dropped, written
@@ -57,19 +58,29 @@ def _profile(documents: DataFrame) -> list[Column]:
 
 def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (source, lang, topic, tokens > 0) with ``w``: shares of the whole whose margins are the targets, after ``rounds`` rounds."""
-    targets = {}
+    now = cells.withColumn("w", F.col("tokens"))
     for m in MARGINS:
         t = cells.groupBy(m).agg(F.pow(F.sum("tokens"), F.lit(temper[m])).alias("t"))
-        targets[m] = written(t.crossJoin(F.broadcast(t.agg(F.sum("t").alias("all")))).select(m, (F.col("t") / F.col("all")).alias("target")), "target")
-    now = cells.withColumn("w", F.col("tokens"))
+        total = F.broadcast(t.agg(F.sum("t").alias("all")))  # one row
+        now = now.join(t.crossJoin(total).select(m, (F.col("t") / F.col("all")).alias(f"target_{m}")), m)
+    now = written(now, "raked")
     for _ in range(rounds):
         for m in MARGINS:
-            factor = now.groupBy(m).agg(F.sum("w").alias("s")).join(targets[m], m).select(m, (F.col("target") / F.col("s")).alias("f"))
-            now = now.join(factor, m).withColumn("w", F.col("w") * F.col("f")).drop("f")
+            now = now.withColumn("w", F.col("w") * F.col(f"target_{m}") / F.sum("w").over(W.partitionBy(m)))
         after = written(now, "raked")
         dropped(now)
         now = after
-    return now
+    return now.select(*cells.columns, "w")
+
+
+def residual(raked: DataFrame, temper: dict[str, float] = TEMPER) -> float:
+    """The greatest difference between a margin's share and its target, as a part of the target."""
+    worst = 0.0
+    for m in MARGINS:
+        t = raked.groupBy(m).agg(F.pow(F.sum("tokens"), F.lit(temper[m])).alias("t"), F.sum("w").alias("w"))
+        all_t, all_w = t.agg(F.sum("t"), F.sum("w")).first()
+        worst = max(worst, t.agg(F.max(F.abs(F.col("w") / all_w / (F.col("t") / all_t) - 1))).first()[0] or 0.0)
+    return worst
 
 
 def factor_for(raked: DataFrame, part: float, steps: int = FACTOR_STEPS) -> float:
