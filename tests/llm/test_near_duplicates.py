@@ -47,3 +47,16 @@ def test_jaccard_pairs_in_one_group(spark):
     # the stage keeps at most one document of each such group
     stay = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert len(alike) > 50 and stay <= set(root.values()) and 0 in stay
+
+
+def test_sketch_never_rules_out():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 17, 300, 5000):
+        x = rng.integers(-(1 << 62), 1 << 62, n)
+        y = np.unique(np.concatenate((x[: n - n // 10], rng.integers(-(1 << 62), 1 << 62, n // 5))))
+        other = rng.integers(-(1 << 62), 1 << 62, n)
+        assert jaccard.most_shared(jaccard.sketch(x), jaccard.sketch(y)) >= len(np.intersect1d(x, y))
+        if n > 100:
+            assert jaccard.most_shared(jaccard.sketch(x), jaccard.sketch(other)) < 8 / 9 * n

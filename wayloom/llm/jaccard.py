@@ -7,6 +7,8 @@ that are frequent in a sample come last, most frequent at the end: this only kee
 * Texts with equal shingle sets are one class, by a 64-bit hash of the set.
 * First every class of a group is held against the group's head, the class with the fewest shingles that no other text has; then, in
   groups that are not connected yet, each pair of classes of different components.
+* Each set has a sketch, the number of its shingles in each of some bins, which bounds from above what two sets can share: it rules most
+  other pairs out before their texts are fetched.
 * Only pairs that can reach the similarity by the sizes of their sets, and by how much is left of both after the shingle they meet by, are looked at.
 * A pair counts once the exact sets of shingles (bytes, no hashes) have the similarity.
 """
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -58,37 +61,63 @@ def _frequent(documents: DataFrame) -> np.ndarray:
     return np.array([r.s for r in counts.orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").collect()], np.int64)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many shingles fall into each of a power of two of bins, about four a bin, as 32-bit numbers."""
+    bits = max(4, int(len(hashes) - 1).bit_length() - 2)
+    return np.bincount((hashes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u4").tobytes()
+
+
+def most_shared(x: bytes, y: bytes) -> int:
+    """An upper bound of the shingles that two sets share: in no bin can it be more than the fewer of both."""
+    u, v = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+    while len(u) > len(v):
+        u = u.reshape(-1, 2).sum(axis=1)
+    while len(v) > len(u):
+        v = v.reshape(-1, 2).sum(axis=1)
+    return int(np.minimum(u, v).sum())
+
+
 def with_prefixes(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, text, c (the class), n (distinct shingles), prefix. Texts without words are left out."""
+    """doc_id, text, c (the class), n (distinct shingles), prefix, sketch. Texts without words are left out.
+
+    Of a task's rows of one class only the first has its prefix and sketch: however often a text is copied, it sends a task's worth of shingles at most.
+    """
     place = np.argsort(frequent)
     known = frequent[place]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in slices(batches):
             sets = shingle_hashes(*buffer_of(batch.column("text")))
             keep = [k for k, s in enumerate(sets) if len(s)]
-            prefixes, classes = [], []
+            prefixes, classes, sketches = [], [], []
             for k in keep:
                 s = sets[k]
                 classes.append(xxhash.xxh64_intdigest(s.tobytes()))
+                if classes[-1] in seen:
+                    prefixes.append(s[:0])
+                    sketches.append(None)
+                    continue
+                seen.add(classes[-1])
                 late = np.zeros(len(s), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     late = np.where(known[at] == s, len(known) - place[at], 0)
                 prefixes.append(s[np.lexsort((s, late))][: len(s) - -(-len(s) * NUM // DEN) + 1])
+                sketches.append(sketch(s))
             at = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(rows), batch.column("text").take(rows), pa.array(np.array(classes, np.uint64).view(np.int64)),
-                    pa.array([len(sets[k]) for k in keep], pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
+                    pa.array([len(sets[k]) for k in keep], pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(sketches, pa.binary()),
                 ],
-                names=["doc_id", "text", "c", "n", "prefix"],
+                names=["doc_id", "text", "c", "n", "prefix", "sketch"],
             )
 
     columns = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return columns.mapInArrow(made, "doc_id bigint, text string, c bigint, n int, prefix array<bigint>")
+    return columns.mapInArrow(made, "doc_id bigint, text string, c bigint, n int, prefix array<bigint>, sketch binary")
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> set[bytes]:
@@ -118,11 +147,22 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("n1", "n2", "x", "y")))
+        keep = [k for k, (n1, n2, x, y) in enumerate(rows) if (NUM + DEN) * most_shared(x, y) >= NUM * (n1 + n2)]
+        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+
 def _verified(pairs: DataFrame, documents: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those of the pairs of classes (a, b) that are similar. Only the texts of a document of each class are fetched."""
-    pairs = written(pairs, "pairs")
+    """Those of the pairs of classes (a, b) that are similar.
+
+    First the pairs whose sketches rule it out go (none that is similar does); only for the rest a document of each class is fetched.
+    """
+    x, y = (reps.select(F.col("c").alias(c), F.col("n").alias(n), F.col("sketch").alias(t)) for c, n, t in (("a", "n1", "x"), ("b", "n2", "y")))
+    pairs = written(pairs.join(y, "b").join(x, "a").select("a", "b", "n1", "n2", "x", "y").mapInArrow(_possible, "a bigint, b bigint"), "possible")
     asked = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    needed = written(reps.join(asked, "c").select("c", F.col("rep").alias("doc_id")), "needed")
+    needed = written(reps.join(asked, "c", "left_semi").select("c", F.col("rep").alias("doc_id")), "needed")
     some = documents.join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
     texts = with_prefixes(some, np.zeros(0, np.int64)).join(needed.select("c"), "c", "left_semi").groupBy("c").agg(F.min("text").alias("text"))
     texts = written(texts, "texts")
@@ -140,10 +180,12 @@ def similar_links(documents: DataFrame) -> DataFrame:
     documents = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     made = written(with_prefixes(documents, _frequent(documents)).drop("text"), "prefixes")
     # every class by its smallest document
-    reps = written(made.groupBy("c").agg(F.min("doc_id").alias("rep")), "reps")
+    reps = written(made.groupBy("c").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")), "reps")
     entries = made.select("c", "n", F.size("prefix").alias("p"), F.posexplode("prefix").alias("i", "s"))
-    several = entries.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("s")
-    met = written(entries.join(several, "s").distinct(), "met")
+    # one shuffle: which shingles several classes have is seen where their rows meet
+    w = W.partitionBy("s")
+    met = entries.withColumns({"_low": F.min("c").over(w), "_high": F.max("c").over(w)}).filter("_low < _high").drop("_low", "_high")
+    met = written(met.distinct(), "met")
     # a group's head is its class with the fewest shingles of its own, so that edited copies meet the text that they are nearest to
     alone = met.groupBy("c").agg((F.lit(1.0) - F.count("*") / F.max("p")).alias("alone"))
     shared = written(met.drop("p").join(alone, "c"), "shared")
