@@ -139,7 +139,8 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, held = None, set()
     for batch in batches:
         keep = []
-        for k, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
+        for k in range(batch.num_rows):  # a pair of texts at a time, however long they are
+            x, y = (batch.column(c)[k].as_py() for c in ("x", "y"))
             if x != last:
                 last, held = x, shingle_set(x)
             if similar(held, shingle_set(y)):

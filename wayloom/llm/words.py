@@ -1,6 +1,6 @@
 """Words of many texts at once, as positions in one byte buffer.
 
-Python loops over words cost microseconds each; here a slice of a batch (about a megabyte of text, or
+Python loops over words cost microseconds each; here a slice of a batch (a quarter of a megabyte of text, or
 one longer text) is one numpy buffer, and word bounds and word hashes are array expressions.
 """
 
@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are worked on at a time; a longer text makes a slice of its own.
-SLICE_BYTES = 1 << 20
+#: Bytes of text, and rows, that are worked on at a time; a longer text makes a slice of its own.
+SLICE_BYTES = 1 << 18
 SLICE_ROWS = 1 << 13
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -44,6 +44,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, min(at + rows, int(np.searchsorted(ends, base + most, side="right"))))
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()  # a worker lives on after its task: what a batch took goes back
 
 
 def text_lengths(text: pa.Array) -> np.ndarray:
