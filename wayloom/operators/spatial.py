@@ -12,10 +12,27 @@ from ..functions.geo import METERS_PER_DEGREE, fraction_on_segment, haversine, m
 from .components import connected_components
 
 
-def with_cell(df: DataFrame, lat: str, lng: str, radius: float, max_lat: float = 20.0) -> DataFrame:
-    """Adds the grid cell of a point, for a search radius in metres: no side of a cell is shorter than the radius up to ``max_lat``."""
-    dy = radius * 1.01 / METERS_PER_DEGREE
-    return df.withColumns({"_cy": F.floor(F.col(lat) / dy), "_cx": F.floor(F.col(lng) / (dy / math.cos(math.radians(max_lat))))})
+def _row_width(row, dy: float):
+    """How wide the cells of a row of the grid are, in degrees: no narrower than they are high, in metres, anywhere in the row."""
+    edge = F.greatest(F.abs(row * dy), F.abs((row + 1) * dy))
+    return dy / F.cos(F.radians(F.least(F.lit(89.0), edge)))
+
+
+def with_cell(df: DataFrame, lat: str, lng: str, radius: float) -> DataFrame:
+    """Adds the grid cell of a point, for a search radius in metres: no side of a cell is shorter than the radius, up to 89 degrees of latitude."""
+    dy = radius * 1.02 / METERS_PER_DEGREE
+    row = F.floor(F.col(lat) / dy)
+    return df.withColumn("_cy", row).withColumn("_cx", F.floor(F.col(lng) / _row_width(F.col("_cy"), dy)))
+
+
+def near_cells(df: DataFrame, lat: str, lng: str, radius: float) -> DataFrame:
+    """Nine rows a point (more beside the 180th meridian): the cells of ``with_cell`` that may hold points within the radius."""
+    dy = radius * 1.02 / METERS_PER_DEGREE
+    x = F.col(lng)
+    turns = F.when(x > 179.0, F.array(x, x - 360)).when(x < -179.0, F.array(x, x + 360)).otherwise(F.array(x))
+    rows = df.withColumn("_cy", F.explode(F.sequence(F.floor(F.col(lat) / dy) - 1, F.floor(F.col(lat) / dy) + 1))).withColumn("_x", F.explode(turns))
+    at = F.floor(F.col("_x") / _row_width(F.col("_cy"), dy))
+    return rows.withColumn("_cx", F.explode(F.sequence(at - 1, at + 1))).drop("_x")
 
 
 def around(df: DataFrame) -> DataFrame:
@@ -28,13 +45,26 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, lat: str = "la
     """Pairs of points within ``radius`` metres, with their distance. Column names of the sides must differ.
 
     The left side, the smaller, is repeated for the nine cells around it; a crowded cell makes a skewed key that Spark splits at run time.
+    Latitudes up to 89 degrees, and both sides of the 180th meridian, are covered.
     """
-    a = around(with_cell(left, lat, lng, radius))
+    a = near_cells(left, lat, lng, radius)
     b = with_cell(right, r_lat, r_lng, radius)
     d = haversine(lat, lng, r_lat, r_lng)
     return a.join(b, ["_cy", "_cx"]).withColumn(distance, d).filter(F.col(distance) <= radius).drop("_cy", "_cx")
 
 
+def circle_join(points: DataFrame, circles: DataFrame, radius: str, lat: str = "lat", lng: str = "lng", r_lat: str = "r_lat", r_lng: str = "r_lng", cell_m: float = 500.0, distance: str = "dist") -> DataFrame:
+    """Pairs of a point and a circle (``radius``: a column of metres) that holds it. Circles are repeated for the cells they cover, so each may have any radius."""
+    dy = cell_m / METERS_PER_DEGREE
+    high = F.col(radius) * 1.02 / METERS_PER_DEGREE
+    edge = F.least(F.lit(89.0), F.abs(F.col(r_lat)) + high)
+    wide = high / F.cos(F.radians(edge))
+    cells = lambda mid, reach: F.sequence(F.floor((F.col(mid) - reach) / dy), F.floor((F.col(mid) + reach) / dy))
+    covered = circles.withColumn("_cy", F.explode(cells(r_lat, high))).withColumn("_cx", F.explode(cells(r_lng, wide)))
+    placed = points.withColumns({"_cy": F.floor(F.col(lat) / dy), "_cx": F.floor(F.col(lng) / dy)})
+    return placed.join(covered, ["_cy", "_cx"]).withColumn(distance, haversine(lat, lng, r_lat, r_lng)).filter(F.col(distance) <= F.col(radius)).drop("_cy", "_cx")
+
+
 def segments(points: DataFrame, line: str, order: str, lat: str = "lat", lng: str = "lng") -> DataFrame:
     """Consecutive points of a line as segments: line, seg_no, x1, y1, x2, y2, len_deg, cum_deg, total_deg, len_m, cum_m (sums before the segment).
 
@@ -65,14 +95,23 @@ def located(pairs: DataFrame, keys: list[str], lat: str = "lat", lng: str = "lng
     )
 
 
-def line_join(points: DataFrame, segs: DataFrame, line: str, key: str, radius: float, lat: str = "lat", lng: str = "lng") -> DataFrame:
-    """Pairs (point, line) at most ``radius`` metres apart, located on the line. Segments are repeated for the cells that their boxes cover."""
-    dy = radius * 1.01 / METERS_PER_DEGREE
-    dx = dy / math.cos(math.radians(20.0))
-    cells = lambda a, b, d: F.sequence(F.floor((F.least(a, b) - d) / d), F.floor((F.greatest(a, b) + d) / d))
+def line_join(points: DataFrame, segs: DataFrame, line: str, key: str, radius: float, lat: str = "lat", lng: str = "lng", max_lat: float = 60.0) -> DataFrame:
+    """Pairs (point, line) at most ``radius`` metres apart, located on the line: fraction, away_m, snap_lat, snap_lng.
+
+    Segments are cut into pieces of about a cell (four radii), and each piece is repeated for the cells around it, so a long slanted segment
+    takes cells along its length, not the area of its box. Right up to ``max_lat`` degrees of latitude.
+    """
     c = F.col
-    covered = segs.withColumn("_cy", F.explode(cells(c("y1"), c("y2"), dy))).withColumn("_cx", F.explode(cells(c("x1"), c("x2"), dx)))
-    placed = points.withColumns({"_cy": F.floor(c(lat) / dy), "_cx": F.floor(c(lng) / dx)})
+    cell = 4 * radius / METERS_PER_DEGREE
+    reach_y = radius * 1.05 / METERS_PER_DEGREE
+    reach_x = reach_y / math.cos(math.radians(max_lat))
+    pieces = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(c("x2") - c("x1")), F.abs(c("y2") - c("y1"))) / cell))
+    cut = segs.withColumn("_k", pieces).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), c("_k") - 1)))
+    at = lambda a, b, i: c(a) + (c(b) - c(a)) * (i / c("_k"))
+    span = lambda a, b, reach: F.sequence(F.floor((F.least(a, b) - reach) / cell), F.floor((F.greatest(a, b) + reach) / cell))
+    covered = cut.withColumn("_cy", F.explode(span(at("y1", "y2", c("_i")), at("y1", "y2", c("_i") + 1), reach_y)))
+    covered = covered.withColumn("_cx", F.explode(span(at("x1", "x2", c("_i")), at("x1", "x2", c("_i") + 1), reach_x))).drop("_k", "_i")
+    placed = points.withColumns({"_cy": F.floor(c(lat) / cell), "_cx": F.floor(c(lng) / cell)})
     return located(placed.join(covered, ["_cy", "_cx"]), [key, line], lat, lng).filter(c("away_m") <= radius)
 
 

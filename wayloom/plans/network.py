@@ -10,7 +10,7 @@ from ..operators import network as net
 from ..operators import spatial as sp
 from ..operators import timetable as tt
 from ..sources import bindings as b
-from .registry import query
+from .registry import QUERIES, SQL, query
 
 M = b.metres_sql
 
@@ -56,10 +56,10 @@ def nearby_routes(spark, d):
 @query(b.with_tables("hubs", "trips_wanted") + f""" SELECT qid, hub, priority, dist_m FROM (SELECT qid, hub, priority, {_int(M('o_lat', 'o_lng', 'lat', 'lng'))} AS dist_m, row_number() OVER (PARTITION BY qid ORDER BY priority DESC, {M('o_lat', 'o_lng', 'lat', 'lng')}, hub_id) AS k
   FROM trips_wanted, hubs WHERE {M('o_lat', 'o_lng', 'lat', 'lng')} <= radius) WHERE k = 1""")
 def hub_context(spark, d):
-    """The most important hub whose circle holds a trip's origin. Hubs are a named dimension (one a nation), small by nature; the grid join needs no such bound."""
+    """The most important hub whose circle holds a trip's origin. Hubs may have any radius."""
     q = b.trips_wanted(spark, d).select("qid", "o_lat", "o_lng")
     h = b.hubs(spark, d).select("hub_id", "hub", "priority", "radius", F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"))
-    inside = sp.radius_join(q, h, 2000, "o_lat", "o_lng").filter(F.col("dist") <= F.col("radius"))
+    inside = sp.circle_join(q, h, "radius", "o_lat", "o_lng")
     best = inside.groupBy("qid").agg(F.min(F.struct(-F.col("priority"), "dist", "hub_id", "hub", "priority")).alias("x"))
     return best.select("qid", "x.hub", "x.priority", F.rint("x.dist").cast("int").alias("dist_m"))
 
@@ -127,18 +127,15 @@ def jump_split(spark, d):
     return sp.split_at_jumps(pts, "pattern_id", "seq").groupBy("pattern_id", "part").agg(F.count("*").alias("n"))
 
 
-@query(b.with_tables("stops", "pattern_stops") + _LINES + ", st AS (SELECT unnest(range(4)) AS step) SELECT pattern_id, seq_no AS seg_no, CAST(step AS INT) AS step, round(y1 + step / 4.0 * (y2 - y1), 6) AS lat, round(x1 + step / 4.0 * (x2 - x1), 6) AS lng FROM (SELECT *, CAST(row_number() OVER (PARTITION BY pattern_id ORDER BY seq) AS INT) AS seq_no FROM segs WHERE pattern_id % 10 = 3), st")
-def densify(spark, d):
-    """Every tenth pattern of ``densify_all``: a part only, as its SQL says."""
-    return sp.densified(_segments(spark, d).filter("pattern_id % 10 = 3"), 4).select("pattern_id", "seg_no", "step", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
-
-
 @query(b.with_tables("stops", "pattern_stops") + _LINES + ", st AS (SELECT unnest(range(4)) AS step) SELECT pattern_id, seq_no AS seg_no, CAST(step AS INT) AS step, round(y1 + step / 4.0 * (y2 - y1), 6) AS lat, round(x1 + step / 4.0 * (x2 - x1), 6) AS lng FROM (SELECT *, CAST(row_number() OVER (PARTITION BY pattern_id ORDER BY seq) AS INT) AS seq_no FROM segs), st")
-def densify_all(spark, d):
+def densify(spark, d):
     """The lines of all patterns with three points put in each segment."""
     return sp.densified(_segments(spark, d), 4).select("pattern_id", "seg_no", "step", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
+QUERIES["densify_all"], SQL["densify_all"] = densify, SQL["densify"]
+
+
 @query("""SELECT o_orderkey, CAST(CASE WHEN st = 'unavailable' THEN 0 WHEN st = 'no_route' THEN CASE WHEN s < 350 THEN greatest(3, floor(s / 80.0 + 0.5)) ELSE floor(8 + s / 120.0 + 0.5) END ELSE greatest(0, floor(greatest(0, n - s) / 70.0
  + CASE WHEN (CASE WHEN s > 0 THEN n / s ELSE 1 END) > 2.2 AND n >= 700 THEN least(18, (n / s - 2.2) * 4) ELSE 0 END + CASE WHEN n > 2500 THEN (n - 2500) / 350.0 ELSE 0 END + CASE WHEN n > 5000 THEN 25 ELSE 0 END + 0.5)) END AS INT) AS penalty FROM (
 SELECT o_orderkey, ['ok', 'no_route', 'unavailable', 'ok'][CAST(o_orderkey % 4 + 1 AS INT)] AS st, CAST(o_custkey % 2000 AS DOUBLE) AS s, CAST(o_custkey % 2000 + o_orderkey % 4000 AS DOUBLE) AS n FROM orders)""")
