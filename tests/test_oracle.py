@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import pytest
 
+import wayloom.plans.audit
 import wayloom.plans.basics
+import wayloom.plans.edits
 import wayloom.plans.journeys
-import wayloom.plans.network  # noqa: F401  each module registers its queries
+import wayloom.plans.live
+import wayloom.plans.matching
+import wayloom.plans.network
+import wayloom.plans.ranking  # noqa: F401  each module registers its queries
 from wayloom.plans.registry import QUERIES, SQL
 
 from .oracle import difference

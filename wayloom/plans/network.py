@@ -26,7 +26,7 @@ _NEAR = f""", near AS MATERIALIZED (SELECT qid, stop_id, dist_m FROM (SELECT t.q
 def near_stops(spark, d, lat="o_lat", lng="o_lng", radius=1200, name="dist_m"):
     """qid, stop_id and the distance of the active stops around an end of every wanted trip."""
     q = b.trips_wanted(spark, d).select("qid", F.col(lat).alias("lat"), F.col(lng).alias("lng"))
-    s = b.stops(spark, d).filter("active").select("stop_id", F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"))
+    s = b.stops(spark, d).filter(F.coalesce("active", F.lit(True))).select("stop_id", F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"))
     return sp.radius_join(q, s, radius).select("qid", "stop_id", F.rint("dist").cast("int").alias(name))
 
 

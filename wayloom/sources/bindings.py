@@ -60,12 +60,12 @@ def fares(spark, d) -> DataFrame:
 
 
 def trips_wanted(spark, d) -> DataFrame:
-    """One origin-destination query a supplier, each within a tile."""
+    """One origin-destination query a supplier, each within a tile; every third ends beyond the last stops, where few patterns go."""
     k = F.col("s_suppkey")
     tile = F.floor(k / 100) % 800
     return table(spark, d, "supplier").select(
         k.alias("qid"), (9.8 + ((k * 613) % 991) / 10000.0).alias("o_lat"), (-83.95 + ((k * 727) % 1009) / 10000.0 + 0.2 * tile).alias("o_lng"),
-        (9.8 + ((k * 389) % 983) / 10000.0).alias("d_lat"), (-83.95 + ((k * 887) % 997) / 10000.0 + 0.2 * tile).alias("d_lng"),
+        F.when(k % 3 == 0, 9.7903 + (k % 5) / 2000.0).otherwise(9.8 + ((k * 389) % 983) / 10000.0).alias("d_lat"), (-83.95 + ((k * 887) % 997) / 10000.0 + 0.2 * tile).alias("d_lng"),
         (360 + (k * 37) % 700).cast("int").alias("minute"),
     )
 
@@ -87,6 +87,23 @@ def positions(spark, d) -> DataFrame:
     )
 
 
+def journeys(spark, d) -> DataFrame:
+    """Some ten journeys a query, of one or two legs over a few routes; walks and scores by arithmetic, with ties."""
+    k, q = F.col("o_orderkey"), F.col("o_custkey")
+    two = k % 3 == 0
+    walk = lambda a, m: ((k * a) % m).cast("int")
+    name = lambda n: F.concat(F.element_at(F.array(*map(F.lit, ROUTE_NAMES)), (n % len(ROUTE_NAMES) + 1).cast("int")), F.lit(" "), (q % 3).cast("string"))
+    rows = table(spark, d, "orders").select(
+        q.alias("qid"), k.alias("journey_id"), F.when(two, 2).otherwise(1).alias("n_legs"), name(k).alias("route1"), F.when(two, name(F.floor(k / 7))).alias("route2"),
+        walk(37, 900).alias("origin_walk_m"), walk(53, 1900).alias("final_walk_m"), F.when(two, walk(11, 200)).otherwise(0).alias("transfer_walk_m"),
+        walk(29, 60).alias("score"), (k % 15).cast("int").alias("eta_min"), (200 + (q * 97) % 4000).cast("int").alias("trip_m"), (k % 9).alias("final_stop"),
+        (9.8 + ((q * 389) % 983) / 10000.0).alias("d_lat"), (-83.95 + ((q * 887) % 997) / 10000.0).alias("d_lng"),
+    )
+    return rows.withColumn("total_walk_m", F.col("origin_walk_m") + F.col("final_walk_m") + F.col("transfer_walk_m"))
+
+
+ROUTE_NAMES = ("Cartago - Paraíso", "SAN JOSÉ – CARTAGO", "Taras", "Local  Quircot", "Turrialba Expreso", "Tejar")
+
 # The same bindings for an SQL engine, as common table expressions.
 SQL = {
     "stops": "stops AS (SELECT p_partkey AS stop_id, 9.8 + ((p_partkey * 7919) % 997) / 10000.0 AS lat, -83.95 + ((p_partkey * 6007) % 1009) / 10000.0 + 0.2::DOUBLE * ((p_partkey // 2000) % 800) AS lng, p_name AS name, p_partkey % 17 <> 0 AS active FROM part)",
@@ -95,12 +112,19 @@ SQL = {
     "pattern_stops": "pattern_stops AS MATERIALIZED (SELECT pattern_id, seq, stop_id, board, alight_o OR seq > 1 AS alight, qty FROM (SELECT l_orderkey AS pattern_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS INT) AS seq, l_partkey AS stop_id, l_returnflag <> 'R' AS board, l_linestatus = 'O' AS alight_o, l_quantity AS qty FROM lineitem))",
     "service_windows": "service_windows AS (SELECT o_orderkey AS pattern_id, o_orderkey * 3 + i AS window_id, day_type, start, stop, CAST(20 + o_orderkey % 40 AS INT) AS headway, i <> 1 OR o_orderkey % 7 <> 0 AS active FROM orders, (VALUES (0, 'habil', 300, 540), (1, 'habil', 540, 1200), (2, 'sabado', 1320, 60)) s(i, day_type, start, stop))",
     "fares": "fares AS (SELECT CAST(o_custkey % 300 AS VARCHAR) AS code, o_orderdate AS valid_from, CAST(round_even(o_totalprice, 0) AS INT) AS fare, o_orderkey AS fare_id FROM orders)",
-    "trips_wanted": "trips_wanted AS (SELECT s_suppkey AS qid, 9.8 + ((s_suppkey * 613) % 991) / 10000.0 AS o_lat, -83.95 + ((s_suppkey * 727) % 1009) / 10000.0 + 0.2::DOUBLE * ((s_suppkey // 100) % 800) AS o_lng, 9.8 + ((s_suppkey * 389) % 983) / 10000.0 AS d_lat, -83.95 + ((s_suppkey * 887) % 997) / 10000.0 + 0.2::DOUBLE * ((s_suppkey // 100) % 800) AS d_lng, CAST(360 + (s_suppkey * 37) % 700 AS INT) AS minute FROM supplier)",
+    "trips_wanted": "trips_wanted AS (SELECT s_suppkey AS qid, 9.8 + ((s_suppkey * 613) % 991) / 10000.0 AS o_lat, -83.95 + ((s_suppkey * 727) % 1009) / 10000.0 + 0.2::DOUBLE * ((s_suppkey // 100) % 800) AS o_lng, CASE WHEN s_suppkey % 3 = 0 THEN 9.7903::DOUBLE + (s_suppkey % 5) / 2000.0 ELSE 9.8 + ((s_suppkey * 389) % 983) / 10000.0 END AS d_lat, -83.95 + ((s_suppkey * 887) % 997) / 10000.0 + 0.2::DOUBLE * ((s_suppkey // 100) % 800) AS d_lng, CAST(360 + (s_suppkey * 37) % 700 AS INT) AS minute FROM supplier)",
     "hubs": "hubs AS (SELECT n_nationkey AS hub_id, n_name AS hub, 9.8 + ((n_nationkey * 41) % 100) / 1000.0 AS lat, -83.95 + ((n_nationkey * 67) % 100) / 1000.0 AS lng, CAST(800 + (n_nationkey % 5) * 300 AS INT) AS radius, n_regionkey AS priority FROM nation)",
     "positions": "positions AS (SELECT event_id AS arrival, CASE WHEN user_id % 50 <> 0 THEN 'driver-' || user_id END AS driver_id, ts, 9.8 + ((event_id * 31) % 997) / 10000.0 AS lat, CASE WHEN event_id % 97 <> 0 THEN -83.95 + ((event_id * 57) % 1009) / 10000.0 END AS lng, event_type AS status, value AS speed, CAST(user_id % 300 AS VARCHAR) AS route FROM events)",
 }
 
 
+_NAMES = "[" + ", ".join(f"'{n}'" for n in ROUTE_NAMES) + "]"
+SQL["journeys"] = f"""journeys AS (SELECT *, origin_walk_m + final_walk_m + transfer_walk_m AS total_walk_m FROM (SELECT o_custkey AS qid, o_orderkey AS journey_id, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS n_legs,
+  {_NAMES}[CAST(o_orderkey % 6 + 1 AS INT)] || ' ' || (o_custkey % 3) AS route1, CASE WHEN o_orderkey % 3 = 0 THEN {_NAMES}[CAST((o_orderkey // 7) % 6 + 1 AS INT)] || ' ' || (o_custkey % 3) END AS route2,
+  CAST((o_orderkey * 37) % 900 AS INT) AS origin_walk_m, CAST((o_orderkey * 53) % 1900 AS INT) AS final_walk_m, CAST(CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey * 11) % 200 ELSE 0 END AS INT) AS transfer_walk_m, CAST((o_orderkey * 29) % 60 AS INT) AS score,
+  CAST(o_orderkey % 15 AS INT) AS eta_min, CAST(200 + (o_custkey * 97) % 4000 AS INT) AS trip_m, o_orderkey % 9 AS final_stop, 9.8 + ((o_custkey * 389) % 983) / 10000.0 AS d_lat, -83.95 + ((o_custkey * 887) % 997) / 10000.0 AS d_lng FROM orders))"""
+
+
 def metres_sql(a: str, b: str, c: str, d: str) -> str:
     return f"(2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))))"
 
