@@ -151,10 +151,20 @@ SELECT qid, round, total FROM j WHERE NOT EXISTS (SELECT 1 FROM j z WHERE z.qid
 def raptor_journeys(spark, d):
     """The Pareto set of arrival and rides (up to two) of every query."""
     starts, targets, windows, timed, edges = _routing(spark, d)
-    return rp.journeys(rp.earliest_arrivals(starts, windows, timed, edges, rounds=2), targets).select("qid", "round", "total")
+    return rp.journeys(rp.earliest_arrivals(starts, windows, timed, edges, rounds=2, targets=targets), targets).select("qid", "round", "total")
 
 
-_WAIT = "AND dep + o <= (SELECT min(t0) + 30 FROM start0 s WHERE s.qid = r.qid)"
+_WAIT = "AND dep + o <= t0 + 25"
+_BEST2 = ", best2 AS (SELECT qid, stop_id, min(arrival) AS arrival FROM (SELECT qid, stop_id, arrival FROM best1 UNION ALL SELECT qid, stop_id, arrival FROM nw2) GROUP BY ALL)"
+_K3 = _K1.replace("FROM start0 r JOIN off", ", t0 FROM start0 r JOIN off").replace("WHERE dep <= stop ", "WHERE dep <= stop " + _WAIT) + _K2[len(_K1) :] + _BEST2 + _round_sql(3, "nw2", "best2")
+
+
+@query(b.with_tables(*_RT) + _K3 + _TARGETS + """, j AS (SELECT qid, round, min(arrival + fm) AS total FROM (SELECT qid, stop_id, arrival, 1 AS round FROM nw1 UNION ALL SELECT qid, stop_id, arrival, 2 FROM nw2 UNION ALL SELECT qid, stop_id, arrival, 3 FROM nw3) a JOIN tg USING (qid, stop_id) GROUP BY ALL)
+SELECT qid, round, total FROM j WHERE NOT EXISTS (SELECT 1 FROM j z WHERE z.qid = j.qid AND z.round < j.round AND z.total <= j.total)""")
+def raptor_wait(spark, d):
+    """Up to three rides, the first boarded within 25 minutes of the query's own time."""
+    starts, targets, windows, timed, edges = _routing(spark, d)
+    return rp.journeys(rp.earliest_arrivals(starts, windows, timed, edges, rounds=3, max_wait=25, targets=targets), targets).select("qid", "round", "total")
 
 
 @query(b.with_tables(*_RT) + _NEAR + _ND + _EDGES + _OFFM + _START + """, shift AS (SELECT unnest([0, 20, 40]) AS m), start1 AS (SELECT qid * 10 + m // 20 AS qid, stop_id, arrival + m AS arrival FROM start0, shift)""" + _round_sql(1, "start1", "start1") + _TARGETS + """, j AS (SELECT a.qid // 10 AS qid, a.qid % 10 * 20 AS later, min(arrival + fm) AS total FROM nw1 a JOIN tg ON tg.qid = a.qid // 10 AND tg.stop_id = a.stop_id GROUP BY ALL)
