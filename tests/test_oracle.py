@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+import wayloom.plans.access
 import wayloom.plans.audit
 import wayloom.plans.basics
 import wayloom.plans.edits
