@@ -11,6 +11,7 @@ import wayloom.plans.edits
 import wayloom.plans.journeys
 import wayloom.plans.live
 import wayloom.plans.matching
+import wayloom.plans.metrics
 import wayloom.plans.network
 import wayloom.plans.ranking  # noqa: F401  each module registers its queries
 from wayloom.plans.registry import QUERIES, SQL

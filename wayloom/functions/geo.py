@@ -15,10 +15,10 @@ def c(x) -> Column:
 
 
 def haversine(lat1, lng1, lat2, lng2) -> Column:
-    """Great-circle metres between two points in degrees."""
+    """Great-circle metres between two points in degrees; null if any of them is (``least`` alone would make it half the globe)."""
     lat1, lng1, lat2, lng2 = map(c, (lat1, lng1, lat2, lng2))
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.when(a.isNotNull(), 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), a))))
 
 
 def metres(lat1, lng1, lat2, lng2) -> Column:

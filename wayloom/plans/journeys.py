@@ -86,13 +86,17 @@ rf AS (SELECT route_id, fare FROM routes JOIN lf USING (code))"""
 
 @query(b.with_tables(*_TABLES) + _SEARCH + _TRANSFER + _RANKED + " SELECT qid, CAST(rank AS INT) AS rank, transfers, p1, p2, board, alight, walk_m, CAST(final AS BIGINT) AS score, coalesce(f1.fare, 0) + coalesce(f2.fare, 0) AS fare FROM rk LEFT JOIN rf f1 ON f1.route_id = r1 LEFT JOIN rf f2 ON f2.route_id = r2 WHERE rank <= 12")
 def search_v2(spark, d):
+    out = _ranked(spark, d)
+    return out.select("qid", "rank", "transfers", "p1", "p2", "board", "alight", "walk_m", F.col("score").cast("bigint").alias("score"), "fare")
+
+
+def _ranked(spark, d, k=12):
     ps, pt, q, oc, dc, wait = _parts(spark, d)
     direct = se.direct(oc, dc, wait)
     transfer = se.with_transfer(oc, dc, wait, ps, pt, _links(spark, d, ps), direct)
     q = q.withColumn("straight_m", metres("o_lat", "o_lng", "d_lat", "d_lng"))
     fares = latest_by(b.fares(spark, d), ["code"], F.struct("valid_from", "fare_id"))
-    out = se.ranked_results(direct, transfer, q, fares, b.routes(spark, d))
-    return out.select("qid", "rank", "transfers", "p1", "p2", "board", "alight", "walk_m", F.col("score").cast("bigint").alias("score"), "fare")
+    return se.ranked_results(direct, transfer, q, fares, b.routes(spark, d), k)
 
 
 @query(b.with_tables(*_TABLES) + _SEARCH + f""", g AS (SELECT dd.qid, pattern_id, board, alight, {M('o_lat', 'o_lng', 'd_lat', 'd_lng')} AS total_m, {M('a.lat', 'a.lng', 'd_lat', 'd_lng')} AS left_m, {M('s.lat', 's.lng', 'd_lat', 'd_lng')} AS bl, {M('s.lat', 's.lng', 'a.lat', 'a.lng')} AS ride FROM dd JOIN trips_wanted q USING (qid) JOIN stops s ON s.stop_id = board JOIN stops a ON a.stop_id = alight),
