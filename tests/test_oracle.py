@@ -8,6 +8,7 @@ import wayloom.plans.access
 import wayloom.plans.audit
 import wayloom.plans.basics
 import wayloom.plans.edits
+import wayloom.plans.itineraries
 import wayloom.plans.journeys
 import wayloom.plans.live
 import wayloom.plans.matching
