@@ -99,6 +99,7 @@ def line_length(spark, d):
 
 @query(b.with_tables("stops", "pattern_stops") + _LINES.replace("segs AS MATERIALIZED", "segs AS") + f", prog AS (SELECT pattern_id, seq, {M('y1', 'x1', 'y2', 'x2')} AS m FROM pr) SELECT pattern_id, seq, CAST(round(sum(coalesce(m, 0)) OVER (PARTITION BY pattern_id ORDER BY seq), 1) * 10 AS BIGINT) AS progress_dm FROM prog")
 def cumulative_progress(spark, d):
+    """Distance along a line, wrong by half the globe from its first stop on, in its SQL too; ``line_progress`` is right."""
     w = W.partitionBy("pattern_id").orderBy("seq")
     pts = b.pattern_stops(spark, d).join(b.stops(spark, d).select("stop_id", "lat", "lng"), "stop_id")
     step = F.coalesce(geo.haversine(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng")), F.lit(0.0))
@@ -106,6 +107,16 @@ def cumulative_progress(spark, d):
     return pts.withColumn("m", step).select("pattern_id", "seq", (F.round(total, 1) * 10).cast("bigint").alias("progress_dm"))
 
 
+@query(b.with_tables("stops", "pattern_stops") + f""", steps AS (SELECT pattern_id, seq, lat, lng, lag(lat) OVER w AS lat0, lag(lng) OVER w AS lng0 FROM pattern_stops JOIN stops USING (stop_id) WINDOW w AS (PARTITION BY pattern_id ORDER BY seq))
+SELECT pattern_id, seq, CAST(sum(CASE WHEN lat0 IS NULL THEN 0 ELSE {_int(M('lat0', 'lng0', 'lat', 'lng'))} END) OVER (PARTITION BY pattern_id ORDER BY seq) AS BIGINT) AS progress_m FROM steps""")
+def line_progress(spark, d):
+    """Metres along a line from its first stop to each of its stops."""
+    w = W.partitionBy("pattern_id").orderBy("seq")
+    pts = b.pattern_stops(spark, d).join(b.stops(spark, d).select("stop_id", "lat", "lng"), "stop_id")
+    step = F.coalesce(geo.known_metres(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng")), F.lit(0))
+    return pts.withColumn("m", step).select("pattern_id", "seq", F.sum("m").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("progress_m"))
+
+
 _LOCATED = _LINES + f""", cum AS (SELECT *, sum(len_deg) OVER (PARTITION BY pattern_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cum_deg, sum(len_deg) OVER (PARTITION BY pattern_id) AS total FROM segs),
 p AS (SELECT pattern_id, min(lat) AS lat, max(lng) AS lng FROM pts GROUP BY pattern_id), tt AS (SELECT cum.*, lat, lng, greatest(0.0, least(1.0, ((lng - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS t FROM cum JOIN p USING (pattern_id)),
 best AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY pow(lng - (x1 + t * (x2 - x1)), 2) + pow(lat - (y1 + t * (y2 - y1)), 2), seq) AS k FROM tt)
