@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, decontaminate, language_id, mixing, secret_scan, simhash, token_counts, toxicity, url_filter
+from . import alignment, ann, chat_format, decontaminate, language_id, mixing, secret_scan, simhash, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op4_nearest": ann.op4_nearest,
@@ -15,6 +15,7 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op11_alignment": alignment.op11_alignment,
 }
 SQL = {
     "op4_nearest": ann.OP4_SQL,
