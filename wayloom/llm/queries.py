@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, ann, chat_format, decontaminate, language_id, mixing, secret_scan, simhash, token_counts, toxicity, url_filter
+from . import alignment, ann, chat_format, decontaminate, language_id, mixing, periodic_runs, secret_scan, simhash, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op4_nearest": ann.op4_nearest,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_url_filter": url_filter.op9_url_filter,
     "op11_alignment": alignment.op11_alignment,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
 }
 SQL = {
     "op4_nearest": ann.OP4_SQL,
