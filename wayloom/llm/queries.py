@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, ann, chat_format, decontaminate, language_id, mixing, periodic_runs, secret_scan, simhash, token_counts, toxicity, url_filter
+from . import alignment, ann, chat_format, decontaminate, language_id, mixing, periodic_runs, private_data, secret_scan, simhash, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op4_nearest": ann.op4_nearest,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op11_alignment": alignment.op11_alignment,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_private_data": private_data.op13_private_data,
 }
 SQL = {
     "op4_nearest": ann.OP4_SQL,
