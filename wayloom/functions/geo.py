@@ -15,10 +15,10 @@ def c(x) -> Column:
 
 
 def haversine(lat1, lng1, lat2, lng2) -> Column:
-    """Great-circle metres between two points in degrees. A null coordinate gives half the globe, as ``least`` passes over nulls: see ``known_metres``."""
+    """Great-circle metres between two points in degrees; null if a coordinate is."""
     lat1, lng1, lat2, lng2 = map(c, (lat1, lng1, lat2, lng2))
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * EARTH_M * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))  # least(1.0, a) would pass over a null
 
 
 def metres(lat1, lng1, lat2, lng2) -> Column:
@@ -26,12 +26,6 @@ def metres(lat1, lng1, lat2, lng2) -> Column:
     return F.rint(haversine(lat1, lng1, lat2, lng2)).cast("int")
 
 
-def known_metres(lat1, lng1, lat2, lng2) -> Column:
-    """``metres``, null if a coordinate is."""
-    there = c(lat1).isNotNull() & c(lng1).isNotNull() & c(lat2).isNotNull() & c(lng2).isNotNull()
-    return F.when(there, metres(lat1, lng1, lat2, lng2))
-
-
 def mercator_x(lng) -> Column:
     return F.radians(c(lng)) * MERCATOR_M
 

@@ -47,20 +47,18 @@ def _key(x) -> Column:
 def eta(routes: DataFrame, live: DataFrame) -> DataFrame:
     """route_id, matched, fresh, stale, wait_min, walk_min, eta_min, confidence of ``routes`` (route_id, code, route_name, dist_m) by live vehicles (driver_id, route, freshness).
 
-    A vehicle serves a route if its text is the route's id or name, or holds its code. The last is an equi-join too: on the parts of the text
+    A vehicle serves a route if its text is the route's id or name, or holds its code, of whatever length. The last is an equi-join too: on the parts of the text
     that are as long as some code.
     """
     own = routes.select("route_id", "dist_m", _key("code").alias("code_key"), _key("route_name").alias("name_key"))
-    longest = 8
     text = live.filter("freshness <> 'expired'").select("driver_id", "freshness", _key("route").alias("text"))
-    n = F.length("text")
-    starts = F.sequence(F.lit(1), n)
-    parts = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), lambda k: F.substring(F.col("text"), i, k)))))
-    by_part = text.filter(n > 0).withColumn("code_key", F.explode(parts)).join(own.filter(F.length("code_key").between(1, longest)), "code_key").select("route_id", "driver_id", "freshness")
-    by_long = text.join(own.filter(F.length("code_key") > longest), F.col("text") == F.col("code_key")).select("route_id", "driver_id", "freshness")
+    n, coded = F.length("text"), own.filter("code_key <> ''")
+    lengths = coded.agg(F.collect_set(F.length("code_key")).alias("_lengths"))  # one row, as many lengths as the longest code has characters at most
+    cuts = F.flatten(F.transform("_lengths", lambda k: F.when(k <= n, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("text"), i, k))).otherwise(F.array().cast("array<string>"))))
+    by_part = text.crossJoin(F.broadcast(lengths)).withColumn("code_key", F.explode(F.array_distinct(cuts))).join(coded, "code_key").select("route_id", "driver_id", "freshness")
     by_name = text.join(own.filter("name_key <> ''"), F.col("text") == F.col("name_key")).select("route_id", "driver_id", "freshness")
     by_id = text.join(own.withColumn("id_key", F.col("route_id").cast("string")), F.col("text") == F.col("id_key")).select("route_id", "driver_id", "freshness")
-    met = by_part.unionByName(by_long).unionByName(by_name).unionByName(by_id).distinct()
+    met = by_part.unionByName(by_name).unionByName(by_id).distinct()
     counts = met.groupBy("route_id").agg(F.count("*").alias("matched"), F.count_if(F.col("freshness") == "fresh").alias("fresh"))
     rows = own.join(counts, "route_id", "left").select("route_id", "dist_m", F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("fresh", F.lit(0)).alias("fresh")).withColumn("stale", F.col("matched") - F.col("fresh"))
     wait = F.when(F.col("stale") > 0, WAIT_STALE).otherwise(WAIT_NONE)

@@ -50,11 +50,11 @@ def coverage(spark, d):
     return au.coverage(official, r.filter(F.col("code").cast("int") % 5 != 0))
 
 
-@query(b.with_tables("patterns", "pattern_stops", "stops") + " SELECT (SELECT count(*) FROM stops WHERE active) AS stops, (SELECT count(*) FROM patterns) AS patterns, (SELECT count(*) FROM patterns WHERE category = 'expreso') AS expreso, (SELECT count(*) FROM patterns WHERE category = 'local') AS local_, (SELECT count(*) FROM pattern_stops) AS pattern_stops")
+@query(b.with_tables("patterns", "pattern_stops", "stops") + " SELECT (SELECT count(*) FROM stops WHERE coalesce(active, true)) AS stops, (SELECT count(*) FROM patterns) AS patterns, (SELECT count(*) FROM patterns WHERE category = 'expreso') AS expreso, (SELECT count(*) FROM patterns WHERE category = 'local') AS local_, (SELECT count(*) FROM pattern_stops) AS pattern_stops")
 def network_counts(spark, d):
     """Row counts of several tables as one row."""
     pt = b.patterns(spark, d).agg(F.count("*").alias("patterns"), F.count_if(F.col("category") == "expreso").alias("expreso"), F.count_if(F.col("category") == "local").alias("local_"))
-    st = b.stops(spark, d).agg(F.count_if(F.col("active")).alias("stops"))
+    st = b.stops(spark, d).agg(F.count_if(F.coalesce("active", F.lit(True))).alias("stops"))
     return st.crossJoin(F.broadcast(pt)).crossJoin(F.broadcast(b.pattern_stops(spark, d).agg(F.count("*").alias("pattern_stops"))))
 
 

@@ -173,8 +173,9 @@ def retention(spark, d):
     return e.crossJoin(F.broadcast(now)).select("event_id", (F.col("ts") >= F.col("now") - F.expr("INTERVAL 10 DAYS")).alias("kept"))
 
 
-@query(b.with_tables("service_windows") + """, w AS (SELECT *, CASE WHEN stop < start THEN stop + 1440 ELSE stop END AS e FROM service_windows UNION ALL SELECT pattern_id, -window_id, day_type, start + 200, stop + 200, headway, active, CASE WHEN stop < start THEN stop + 1640 ELSE stop + 200 END FROM service_windows WHERE pattern_id % 5 = 0)
-SELECT a.pattern_id, a.window_id AS w1, b.window_id AS w2, least(a.e, b.e) - greatest(a.start, b.start) AS overlap FROM w a JOIN w b ON a.pattern_id = b.pattern_id AND a.day_type = b.day_type AND a.window_id < b.window_id AND a.start < b.e AND b.start < a.e""")
+@query(b.with_tables("service_windows") + """, shifted AS (SELECT pattern_id, day_type, CAST(CASE WHEN late THEN -window_id ELSE window_id END AS BIGINT) AS wid, CAST(start + CASE WHEN late THEN 200 ELSE 0 END AS INT) AS begins, CAST(stop + CASE WHEN stop < start THEN 1440 ELSE 0 END + CASE WHEN late THEN 200 ELSE 0 END AS INT) AS ends
+  FROM service_windows, (VALUES (false), (true)) v(late) WHERE NOT late OR pattern_id % 5 = 0)
+SELECT x.pattern_id, x.wid AS w1, y.wid AS w2, CAST(least(x.ends, y.ends) - greatest(x.begins, y.begins) AS INT) AS overlap FROM shifted x JOIN shifted y ON x.pattern_id = y.pattern_id AND x.day_type = y.day_type WHERE x.wid < y.wid AND x.begins < y.ends AND y.begins < x.ends""")
 def window_overlap(spark, d):
     """Windows of one pattern and day type that overlap; a window that ends before it starts runs over midnight."""
     sw = b.service_windows(spark, d).withColumn("e", F.when(F.col("stop") < F.col("start"), F.col("stop") + 1440).otherwise(F.col("stop")))

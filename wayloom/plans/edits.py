@@ -58,7 +58,7 @@ def scoped_rebuild(spark, d):
 
 @query(b.with_tables("service_windows") + """, c AS (SELECT pattern_id, window_id, day_type, start, stop, headway, active AND NOT (day_type = 'sabado' AND pattern_id % 4 = 1) AS active, CASE WHEN day_type = 'sabado' AND pattern_id % 4 = 1 THEN 'reduced' END AS reason FROM service_windows
 UNION ALL SELECT pattern_id, -window_id, day_type, 480, 481, 60, true, NULL FROM service_windows WHERE day_type = 'sabado' AND pattern_id % 4 = 1)
-SELECT pattern_id, window_id, active, reason, CASE WHEN active THEN floor(((CASE WHEN stop < start THEN stop + 1440 ELSE stop END) - start) / headway)::BIGINT + 1 ELSE 0 END AS departures FROM c""")
+SELECT pattern_id, window_id, active, reason, CASE WHEN coalesce(active, true) THEN floor(((CASE WHEN stop < start THEN stop + 1440 ELSE stop END) - start) / headway)::BIGINT + 1 ELSE 0 END AS departures FROM c""")
 def service_correction(spark, d):
     """A reduced Saturday: some windows are switched off, with a reason, and single departures put in their place."""
     sw = b.service_windows(spark, d)
@@ -74,9 +74,9 @@ def stop_batches(spark, d):
     return ed.batches(b.stops(spark, d), "stop_id", 64)
 
 
-@query(b.with_tables("stops", "pattern_stops") + " SELECT stop_id, row_number() OVER (ORDER BY stop_id) - 1 AS dense_id FROM (SELECT stop_id FROM pattern_stops UNION SELECT stop_id FROM stops WHERE active)")
+@query(b.with_tables("stops", "pattern_stops") + " SELECT stop_id, row_number() OVER (ORDER BY stop_id) - 1 AS dense_id FROM (SELECT stop_id FROM pattern_stops UNION SELECT stop_id FROM stops WHERE coalesce(active, true))")
 def dense_stop_ids(spark, d):
-    return ed.dense_ids(b.pattern_stops(spark, d).select("stop_id").unionByName(b.stops(spark, d).filter("active").select("stop_id")), "stop_id")
+    return ed.dense_ids(b.pattern_stops(spark, d).select("stop_id").unionByName(b.stops(spark, d).filter("coalesce(active, true)").select("stop_id")), "stop_id")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, to_json({'k': CAST(json_extract_string(props, '$.k') AS INT), 'type': event_type}) AS merged FROM events")

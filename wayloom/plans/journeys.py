@@ -14,7 +14,7 @@ from .network import _EDGES, _NEAR, _OFF, M, _int, near_stops, timed_stops
 from .registry import query
 
 _ND = f""", neard AS MATERIALIZED (SELECT qid, stop_id, dist_m FROM (SELECT t.qid, s.stop_id, {_int(M('t.d_lat', 't.d_lng', 's.lat', 's.lng'))} AS dist_m, {M('t.d_lat', 't.d_lng', 's.lat', 's.lng')} AS dist
-  FROM trips_wanted t JOIN stops s ON s.active AND abs(s.lat - t.d_lat) < 0.02 AND abs(s.lng - t.d_lng) < 0.02) WHERE dist <= 1200)"""
+  FROM trips_wanted t JOIN stops s ON coalesce(s.active, true) AND abs(s.lat - t.d_lat) < 0.02 AND abs(s.lng - t.d_lng) < 0.02) WHERE dist <= 1200)"""
 _TABLES = ("stops", "trips_wanted", "patterns", "pattern_stops", "service_windows", "routes", "fares")
 
 
@@ -25,7 +25,7 @@ def _cand(name: str, near: str, flag: str) -> str:
 
 _SEARCH = _NEAR + _ND + _cand("oc", "near", "board") + _cand("dc", "neard", "alight") + """,
 wt AS MATERIALIZED (SELECT c.qid, c.pattern_id, coalesce(max(headway) // 2, 12) AS wait FROM (SELECT qid, pattern_id FROM oc UNION SELECT qid, pattern_id FROM dc) c LEFT JOIN (
-  SELECT q.qid, w.pattern_id, w.headway, row_number() OVER (PARTITION BY q.qid, w.pattern_id ORDER BY w.start DESC, w.window_id DESC) AS k FROM service_windows w JOIN trips_wanted q ON q.minute >= w.start AND q.minute < w.stop WHERE w.active AND w.day_type = 'habil') f
+  SELECT q.qid, w.pattern_id, w.headway, row_number() OVER (PARTITION BY q.qid, w.pattern_id ORDER BY w.start DESC, w.window_id DESC) AS k FROM service_windows w JOIN trips_wanted q ON q.minute >= w.start AND q.minute < w.stop WHERE coalesce(w.active, true) AND w.day_type = 'habil') f
   ON f.qid = c.qid AND f.pattern_id = c.pattern_id AND f.k = 1 GROUP BY ALL),
 db AS MATERIALIZED (SELECT * FROM (SELECT o.qid, o.pattern_id, o.route_id, o.stop_id AS board, d.stop_id AS alight, o.dist_m AS o_m, d.dist_m AS d_m, o.dist_m + d.dist_m + wait * 80 AS base, o.category,
   row_number() OVER (PARTITION BY o.qid, o.pattern_id ORDER BY o.dist_m + d.dist_m + wait * 80, d.seq DESC, o.seq) AS k FROM oc o JOIN dc d ON o.qid = d.qid AND o.pattern_id = d.pattern_id AND d.seq > o.seq JOIN wt ON wt.qid = o.qid AND wt.pattern_id = o.pattern_id) WHERE k <= 3),
@@ -115,7 +115,7 @@ def _routing(spark, d):
     walk = lambda m: F.floor(F.col(m) / 80.0 + 0.5).cast("int")
     starts = near_stops(spark, d, name="m").join(q, "qid").select("qid", "stop_id", (F.col("minute") + walk("m")).alias("arrival"), F.col("minute").alias("t0"))
     targets = near_stops(spark, d, "d_lat", "d_lng", name="m").select("qid", "stop_id", walk("m").alias("final_min"))
-    sw = b.service_windows(spark, d).filter("active AND day_type = 'habil'")
+    sw = b.service_windows(spark, d).filter("coalesce(active, true) AND day_type = 'habil'")
     windows = sw.select("pattern_id", "window_id", "start", F.col("stop").alias("end"), "headway")
     timed = timed_stops(spark, d).select("pattern_id", "seq", "stop_id", "offset", "board", "alight")
     edges = net.walking_edges(b.stops(spark, d), b.pattern_stops(spark, d))
@@ -123,7 +123,7 @@ def _routing(spark, d):
 
 
 _START = """, start0 AS MATERIALIZED (SELECT qid, stop_id, minute + CAST(floor(dist_m / 80.0 + 0.5) AS INT) AS arrival, minute AS t0 FROM near JOIN trips_wanted USING (qid)),
-win AS (SELECT pattern_id, window_id, start, stop, headway FROM service_windows WHERE active AND day_type = 'habil')"""
+win AS (SELECT pattern_id, window_id, start, stop, headway FROM service_windows WHERE coalesce(active, true) AND day_type = 'habil')"""
 
 
 def _round_sql(k: int, reached: str, best: str, wait: str = "") -> str:
@@ -171,19 +171,6 @@ def raptor_wait(spark, d):
     return rp.journeys(rp.earliest_arrivals(starts, windows, timed, edges, rounds=3, max_wait=25, targets=targets), targets).select("qid", "round", "total")
 
 
-@query(b.with_tables(*_RT) + _NEAR + _ND + _EDGES + _OFFM + _START + """, shift AS (SELECT unnest([0, 20, 40]) AS m), start1 AS (SELECT qid * 10 + m // 20 AS qid, stop_id, arrival + m AS arrival FROM start0, shift)""" + _round_sql(1, "start1", "start1") + _TARGETS + """, j AS (SELECT a.qid // 10 AS qid, a.qid % 10 * 20 AS later, min(arrival + fm) AS total FROM nw1 a JOIN tg ON tg.qid = a.qid // 10 AND tg.stop_id = a.stop_id GROUP BY ALL)
-SELECT qid, CAST(later AS INT) AS later, total FROM j WHERE NOT EXISTS (SELECT 1 FROM j z WHERE z.qid = j.qid AND z.later > j.later AND z.total <= j.total)""")
-def raptor_range(spark, d):
-    """One ride from three instants (0, 20 and 40 minutes): those that no later one beats or equals. ``raptor_range_all`` tries every departure."""
-    starts, targets, windows, timed, edges = _routing(spark, d)
-    later = starts.withColumn("m", F.explode(F.array(F.lit(0), F.lit(20), F.lit(40))))
-    moved = later.select((F.col("qid") * 10 + F.floor(F.col("m") / 20)).alias("qid"), "stop_id", (F.col("arrival") + F.col("m")).alias("arrival"), (F.col("t0") + F.col("m")).alias("t0"))
-    got = rp.earliest_arrivals(moved, windows, timed, edges, rounds=1).select(F.floor(F.col("qid") / 10).alias("qid"), ((F.col("qid") % 10) * 20).cast("int").alias("later"), "stop_id", "arrival")
-    j = got.join(targets, ["qid", "stop_id"]).groupBy("qid", "later").agg(F.min(F.col("arrival") + F.col("final_min")).alias("total"))
-    z = j.select("qid", F.col("later").alias("l2"), F.col("total").alias("t2"))
-    return j.join(j.alias("x").join(z, "qid").filter("l2 > later AND t2 <= total").select("qid", "later").distinct(), ["qid", "later"], "left_anti")
-
-
 @query(b.with_tables(*_RT) + _NEAR + _ND + _EDGES + _OFFM + _START + """, reach AS (SELECT s.qid, s.arrival - o.o - w.start AS since, w.stop - w.start AS length, w.headway FROM start0 s JOIN off o ON o.stop_id = s.stop_id AND o.board JOIN win w ON w.pattern_id = o.pattern_id),
 trip AS (SELECT qid, since, headway, unnest(generate_series(greatest(0, ceil(since / headway::DOUBLE))::BIGINT, floor(least(length, since + 40) / headway::DOUBLE)::BIGINT)) AS k FROM reach),
 leave AS (SELECT DISTINCT qid, k * headway - since AS m FROM trip), start1 AS MATERIALIZED (SELECT qid * 41 + m AS qid, stop_id, CAST(arrival + m AS INT) AS arrival FROM start0 JOIN leave USING (qid))""" + _round_sql(1, "start1", "start1") + _TARGETS + """, j AS (SELECT a.qid // 41 AS qid, a.qid % 41 AS later, min(arrival + fm) AS total FROM nw1 a JOIN tg ON tg.qid = a.qid // 41 AND tg.stop_id = a.stop_id GROUP BY ALL)

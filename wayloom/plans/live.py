@@ -35,7 +35,7 @@ def live_expired(spark, d):
 
 
 @query(b.with_tables("positions", "routes") + _LATEST + f""", bus AS (SELECT driver_id, regexp_replace(lower(route), '[^a-z0-9]+', '', 'g') AS text, {_CLASS} AS fr FROM ag WHERE {_CLASS} <> 'expired'),
-r AS (SELECT route_id, code, regexp_replace(lower(route_name), '[^a-z0-9]+', '', 'g') AS nm, CAST(route_id % 1500 AS INT) AS dist FROM routes),
+r AS (SELECT route_id, regexp_replace(lower(code), '[^a-z0-9]+', '', 'g') AS code, regexp_replace(lower(route_name), '[^a-z0-9]+', '', 'g') AS nm, CAST(route_id % 1500 AS INT) AS dist FROM routes),
 m AS (SELECT route_id, dist, count(driver_id) AS matched, count(*) FILTER (fr = 'fresh') AS fresh FROM r LEFT JOIN bus ON text = CAST(route_id AS VARCHAR) OR contains(text, code) OR text = nm GROUP BY ALL),
 w AS (SELECT *, CASE WHEN fresh >= 3 THEN 2 WHEN fresh = 2 THEN 4 WHEN fresh = 1 THEN 6 WHEN matched > 0 THEN 10 ELSE 14 END AS wait, CAST(greatest(1, floor(dist / 80.0 + 0.5)) AS INT) AS walk FROM m)
 SELECT route_id, matched, fresh, matched - fresh AS stale, wait AS wait_min, walk AS walk_min, wait + walk AS eta_min, CASE WHEN fresh >= 2 THEN 'alta' WHEN fresh = 1 THEN 'media' ELSE 'baja' END AS confidence FROM w""")

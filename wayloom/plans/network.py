@@ -10,7 +10,7 @@ from ..operators import network as net
 from ..operators import spatial as sp
 from ..operators import timetable as tt
 from ..sources import bindings as b
-from .registry import QUERIES, SQL, query
+from .registry import query
 
 M = b.metres_sql
 
@@ -20,7 +20,7 @@ def _int(x: str) -> str:
 
 
 _NEAR = f""", near AS MATERIALIZED (SELECT qid, stop_id, dist_m FROM (SELECT t.qid, s.stop_id, {_int(M('t.o_lat', 't.o_lng', 's.lat', 's.lng'))} AS dist_m, {M('t.o_lat', 't.o_lng', 's.lat', 's.lng')} AS dist
-  FROM trips_wanted t JOIN stops s ON s.active AND abs(s.lat - t.o_lat) < 0.02 AND abs(s.lng - t.o_lng) < 0.02) WHERE dist <= 1200)"""
+  FROM trips_wanted t JOIN stops s ON coalesce(s.active, true) AND abs(s.lat - t.o_lat) < 0.02 AND abs(s.lng - t.o_lng) < 0.02) WHERE dist <= 1200)"""
 
 
 def near_stops(spark, d, lat="o_lat", lng="o_lng", radius=1200, name="dist_m"):
@@ -40,7 +40,7 @@ def nearest_stop(spark, d):
     return near_stops(spark, d).groupBy("qid").agg(F.min(F.struct("dist_m", "stop_id")).alias("b")).select("qid", "b.stop_id", "b.dist_m")
 
 
-@query(b.with_tables("stops", "trips_wanted", "patterns", "pattern_stops") + _NEAR + f""", nd AS (SELECT t.qid, s.stop_id, {_int(M('t.d_lat', 't.d_lng', 's.lat', 's.lng'))} AS dd, {M('t.d_lat', 't.d_lng', 's.lat', 's.lng')} AS dist FROM trips_wanted t JOIN stops s ON s.active AND abs(s.lat - t.d_lat) < 0.02 AND abs(s.lng - t.d_lng) < 0.02),
+@query(b.with_tables("stops", "trips_wanted", "patterns", "pattern_stops") + _NEAR + f""", nd AS (SELECT t.qid, s.stop_id, {_int(M('t.d_lat', 't.d_lng', 's.lat', 's.lng'))} AS dd, {M('t.d_lat', 't.d_lng', 's.lat', 's.lng')} AS dist FROM trips_wanted t JOIN stops s ON coalesce(s.active, true) AND abs(s.lat - t.d_lat) < 0.02 AND abs(s.lng - t.d_lng) < 0.02),
 o AS (SELECT qid, route_id, min(dist_m) AS o_m FROM near JOIN pattern_stops USING (stop_id) JOIN patterns USING (pattern_id) GROUP BY ALL), e AS (SELECT qid, route_id, min(dd) AS d_m FROM nd JOIN pattern_stops USING (stop_id) JOIN patterns USING (pattern_id) WHERE dist <= 1200 GROUP BY ALL)
 SELECT qid, route_id, o_m, d_m, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o_m + d_m, route_id) AS k FROM o JOIN e USING (qid, route_id)) WHERE k <= 15""")
 def nearby_routes(spark, d):
@@ -99,7 +99,7 @@ def line_length(spark, d):
 
 @query(b.with_tables("stops", "pattern_stops") + _LINES.replace("segs AS MATERIALIZED", "segs AS") + f", prog AS (SELECT pattern_id, seq, {M('y1', 'x1', 'y2', 'x2')} AS m FROM pr) SELECT pattern_id, seq, CAST(round(sum(coalesce(m, 0)) OVER (PARTITION BY pattern_id ORDER BY seq), 1) * 10 AS BIGINT) AS progress_dm FROM prog")
 def cumulative_progress(spark, d):
-    """Distance along a line, wrong by half the globe from its first stop on, in its SQL too; ``line_progress`` is right."""
+    """Distance along a line in tenths of a metre; ``line_progress`` adds up whole metres."""
     w = W.partitionBy("pattern_id").orderBy("seq")
     pts = b.pattern_stops(spark, d).join(b.stops(spark, d).select("stop_id", "lat", "lng"), "stop_id")
     step = F.coalesce(geo.haversine(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng")), F.lit(0.0))
@@ -113,7 +113,7 @@ def line_progress(spark, d):
     """Metres along a line from its first stop to each of its stops."""
     w = W.partitionBy("pattern_id").orderBy("seq")
     pts = b.pattern_stops(spark, d).join(b.stops(spark, d).select("stop_id", "lat", "lng"), "stop_id")
-    step = F.coalesce(geo.known_metres(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng")), F.lit(0))
+    step = F.coalesce(geo.metres(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng")), F.lit(0))
     return pts.withColumn("m", step).select("pattern_id", "seq", F.sum("m").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("progress_m"))
 
 
@@ -144,9 +144,6 @@ def densify(spark, d):
     return sp.densified(_segments(spark, d), 4).select("pattern_id", "seg_no", "step", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
-QUERIES["densify_all"], SQL["densify_all"] = densify, SQL["densify"]
-
-
 @query("""SELECT o_orderkey, CAST(CASE WHEN st = 'unavailable' THEN 0 WHEN st = 'no_route' THEN CASE WHEN s < 350 THEN greatest(3, floor(s / 80.0 + 0.5)) ELSE floor(8 + s / 120.0 + 0.5) END ELSE greatest(0, floor(greatest(0, n - s) / 70.0
  + CASE WHEN (CASE WHEN s > 0 THEN n / s ELSE 1 END) > 2.2 AND n >= 700 THEN least(18, (n / s - 2.2) * 4) ELSE 0 END + CASE WHEN n > 2500 THEN (n - 2500) / 350.0 ELSE 0 END + CASE WHEN n > 5000 THEN 25 ELSE 0 END + 0.5)) END AS INT) AS penalty FROM (
 SELECT o_orderkey, ['ok', 'no_route', 'unavailable', 'ok'][CAST(o_orderkey % 4 + 1 AS INT)] AS st, CAST(o_custkey % 2000 AS DOUBLE) AS s, CAST(o_custkey % 2000 + o_orderkey % 4000 AS DOUBLE) AS n FROM orders)""")
@@ -227,7 +224,7 @@ def stop_offsets(spark, d):
     return timed_stops(spark, d).select("pattern_id", "seq", "offset")
 
 
-_DEP = ", dep AS (SELECT pattern_id, window_id, day_type, unnest(range(start, CASE WHEN stop < start THEN stop + 1440 ELSE stop END + 1, headway)) AS departure FROM service_windows WHERE active AND stop <> start)"
+_DEP = ", dep AS (SELECT pattern_id, window_id, day_type, unnest(range(start, CASE WHEN stop < start THEN stop + 1440 ELSE stop END + 1, headway)) AS departure FROM service_windows WHERE coalesce(active, true) AND stop <> start)"
 
 
 @query(b.with_tables("pattern_stops", "service_windows") + _OFF + _DEP + " SELECT day_type, pattern_id, count(DISTINCT (window_id, departure)) AS trips, count(*) AS stop_times, CAST(min(departure + o) AS INT) AS first_arrival, CAST(max(departure + o) AS INT) AS last_arrival FROM dep JOIN off USING (pattern_id) GROUP BY ALL")
