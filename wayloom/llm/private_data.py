@@ -27,7 +27,7 @@ from .words import slices
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TEN = str.maketrans("", "", " ().+-")
@@ -80,7 +80,7 @@ INVISIBLE = "­​‌‍⁠﻿"
 
 @functools.cache
 def folding() -> tuple[dict[int, str], re.Pattern]:
-    """Each look-alike's ASCII character, and the pattern of all look-alikes.
+    """Each look-alike's ASCII character, and a pattern for texts that may hold one: all of the basic plane's, and whatever is beyond it.
 
     Besides the list above: characters whose compatibility form is one printable ASCII character (raised and lowered ones left out) and
     the decimal digits of every script.
@@ -92,7 +92,7 @@ def folding() -> tuple[dict[int, str], re.Pattern]:
         elif (form := unicodedata.decomposition(c)) and not form.startswith(("<super>", "<sub>")):
             if len(x := unicodedata.normalize("NFKC", c)) == 1 and " " <= x <= "~":
                 table.setdefault(ord(c), x)
-    return table, re.compile("[" + "".join(map(chr, table)) + INVISIBLE + "]")
+    return table, re.compile("[" + "".join(chr(c) for c in table if c < 1 << 16) + INVISIBLE + "\U00010000-\U0010ffff]")
 
 
 #: Spelled digits by language, from 0 on.
@@ -123,16 +123,21 @@ _REWRITES = re.compile(
     rf"|(?<![^\W_])(?P<plus>plus\s+)(?=[0-9]|(?:{_SPELLED})(?![^\W_]))",
     re.IGNORECASE,
 )
-#: What a text must hold for the second transducer to have any work that a detector could see; cheaper than the rewrites.
+#: What a text must hold for the second transducer to have work that a detector could see: characters or words, one of which must be there, and a pattern, for the text in lower case.
 _GATES = (
-    re.compile(rf"[\[({{<]\s*(?:{_AT}|{_DOT}|[@.])\s*[\])}}>]|&\#0*(?:64|46);|&commat;|&period;|%40", re.IGNORECASE),
-    re.compile(rf"(?:\s|[_-])(?:{_DOT})(?:\s|[_-])", re.IGNORECASE),
-    re.compile(r"\s@|@\s"),
-    re.compile(rf"(?<![^\W_])(?:{_SPELLED})[\s,-]+(?:{_SPELLED})[\s,-]+(?:{_SPELLED})(?![^\W_])", re.IGNORECASE),
-    re.compile(r"(?<![^\W_])plus\s", re.IGNORECASE),
+    ("[({<&%", re.compile(rf"[\[({{<]\s*(?:{_AT}|{_DOT}|[@.])\s*[\])}}>]|&\#0*(?:64|46);|&commat;|&period;|%40")),
+    (_DOT.split("|"), re.compile(rf"[\s_-](?:{_DOT})[\s_-]")),
+    ("@", re.compile(r"\s@|@\s")),
+    (("plus",), re.compile(r"plus\s")),
+    (("",), re.compile(rf"(?:{_SPELLED})(?:\s[\s,-]*|[,-][\s,-]*)(?:{_SPELLED})[\s,-]+(?:{_SPELLED})")),
 )
 
 
+def disguised(text: str) -> bool:
+    low = text.lower()
+    return any(any(x in low for x in needed) and pattern.search(low) for needed, pattern in _GATES)
+
+
 def _digits(spelled: str) -> str:
     out, times = [], 1
     for word in re.findall(r"[^\W\d_]+", spelled.lower()):
@@ -162,7 +167,7 @@ class Rewritten:
                 self.behind.append((begin, end, whole))
                 written += len(text)
 
-        if odd or any(g.search(self.folded) for g in _GATES):
+        if odd or disguised(self.folded):
             for m in _REWRITES.finditer(self.folded):
                 kind = m.lastgroup
                 if kind == "weak" and _DOMAIN.search(self.folded[self._word(m.start(), done) : m.start()]):
