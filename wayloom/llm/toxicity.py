@@ -36,7 +36,8 @@ REPORT = frozenset(b"said says say quoted quote wrote writes called calls word t
 TOXIC_ROWS, CLEAN_ROWS = 1500, 3000
 #: A term stands in at least this share of the toxic documents: words of one text and its copies teach nothing.
 TERM_SHARE = 0.02
-MOST_TERMS = 150
+#: Terms whose trie and automata make one table; more terms make more tables, which are run in turn.
+TABLE_TERMS = 150
 MIN_ODDS, STRONG_ODDS = 8.0, 40.0
 WINDOW = 6
 _LOOK = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
@@ -153,6 +154,23 @@ class Lexicon:
         return found[order], kinds[order]
 
 
+class Lexicons:
+    """Any number of terms: tables of ``TABLE_TERMS`` terms each, run in turn over the same words. A word that several accept has the strongest kind."""
+
+    def __init__(self, terms: list[tuple[bytes, bool, int]], size: int = TABLE_TERMS):
+        ordered = sorted(set(terms))  # terms with a common beginning share a table
+        self.parts = [Lexicon(ordered[k : k + size]) for k in range(0, max(1, len(ordered)), size)]
+        self.ordinary: frozenset[bytes] = frozenset()
+
+    def find(self, buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        best = np.full(len(starts), 9, np.int8)
+        for part in self.parts:
+            words, kinds = part.find(buf, starts, stops)
+            best[words] = np.minimum(best[words], kinds)
+        words = np.flatnonzero(best < 9)
+        return words, best[words]
+
+
 _QUOTES = str.maketrans({"“": '"', "”": '"', "„": '"', "«": '"', "»": '"', "’": "'", "‘": "'"})
 _HAS_QUOTE = re.compile("[“”„«»’‘]")
 
@@ -165,7 +183,7 @@ def lowered(texts: list[str | None]) -> pa.Array:
 COUNTS = ("strong", "weak", "misspelled", "quoted", "addressed", "any_strong", "any_misspelled", "density")
 
 
-def context_counts(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
+def context_counts(texts: list[str | None], lexicon: Lexicon | Lexicons) -> np.ndarray:
     """Texts x COUNTS. A hit in quotation marks or next to a word of reporting counts as quoted, and not as its kind."""
     low = lowered(texts)
     buf, ends = buffer_of(low)
@@ -193,7 +211,7 @@ def context_counts(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, lexicon: Lexicon, w: np.ndarray, c: float):
+    def __init__(self, lexicon: Lexicon | Lexicons, w: np.ndarray, c: float):
         self.lexicon, self.w, self.c = lexicon, w, c
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -204,14 +222,17 @@ def _beginnings(texts: list[str | None]) -> Iterator[set[bytes]]:
     """For each text its words (with a NUL after them) and their beginnings of four to eight letters."""
     for t in lowered(texts).to_pylist():
         out = set()
-        for w in set(re.findall(r"[^\W\d_]{4,24}", t)):
+        for w in set(re.findall(r"[^\W\d_]{4,}", t)):
             out.add(w.encode() + b"\0")
             out.update(w[:k].encode() for k in range(4, min(8, len(w)) + 1))
         yield out
 
 
 def learned_terms(sample: DataFrame, toxic: int, clean: int) -> list[tuple[bytes, bool, int]]:
-    """Terms of a labelled sample (text, toxic): the ones far more frequent in toxic documents, the most telling first."""
+    """Terms of a labelled sample (text, toxic): all that are far more frequent in toxic documents, the most telling first.
+
+    Each stands in ``TERM_SHARE`` of the toxic documents, so there are at most 1 / TERM_SHARE times as many as a toxic document has words and beginnings.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -226,7 +247,7 @@ def learned_terms(sample: DataFrame, toxic: int, clean: int) -> list[tuple[bytes
     least = max(5, int(TERM_SHARE * toxic))
     counts = sample.mapInArrow(counted, "term binary, t bigint, c bigint").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odds = ((F.col("t") + 0.1) / F.lit(toxic + 1.0)) / ((F.col("c") + 0.5) / F.lit(clean + 1.0))
-    top = counts.filter((F.col("t") >= least) & (odds >= MIN_ODDS)).withColumn("odds", odds).orderBy((F.col("t") * F.log("odds")).desc(), F.length("term").desc(), "term").limit(4 * MOST_TERMS).collect()
+    top = counts.filter((F.col("t") >= least) & (odds >= MIN_ODDS)).withColumn("odds", odds).orderBy((F.col("t") * F.log("odds")).desc(), F.length("term").desc(), "term").collect()
     out: list[tuple[bytes, bool, int]] = []
     covered: list[tuple[bytes, bool, int]] = []
     for r in top:
@@ -238,12 +259,10 @@ def learned_terms(sample: DataFrame, toxic: int, clean: int) -> list[tuple[bytes
         if any(text.startswith(t) if not w else text == t for t, w, _ in out) or not whole and any(t.startswith(text) for t, _, _ in out):
             continue
         out.append((text, whole, kind))
-        if len(out) == MOST_TERMS:
-            break
     return out + covered
 
 
-def ordinary_words(clean: DataFrame, lexicon: Lexicon) -> frozenset[bytes]:
+def ordinary_words(clean: DataFrame, lexicon: Lexicons) -> frozenset[bytes]:
     """Words of clean documents that are one error from a term, and stand in at least ORDINARY of them."""
     sent = clean.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -271,7 +290,7 @@ def fit(documents: DataFrame, labels: DataFrame, training, toxic_rows: int = TOX
     marked = labels.filter(training & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     seeds = [(t.encode(), True, 1) for t in SEED_TERMS]
-    by_rule = Model(Lexicon(seeds), np.array(PRIOR), PRIOR_BIAS)
+    by_rule = Model(Lexicons(seeds), np.array(PRIOR), PRIOR_BIAS)
     if not total.get(0) or not total.get(1):
         return by_rule
     most = 1 << 31
@@ -284,7 +303,7 @@ def fit(documents: DataFrame, labels: DataFrame, training, toxic_rows: int = TOX
         return by_rule
     terms = learned_terms(sample.select("text", "toxic"), n[1], n[0])
     known = {t for t, whole, _ in terms if whole}
-    lexicon = Lexicon(terms + [s for s in seeds if s[0] not in known])
+    lexicon = Lexicons(terms + [s for s in seeds if s[0] not in known])
     lexicon.ordinary = ordinary_words(sample.filter("toxic = 0").select("text"), lexicon)
     sent = documents.sparkSession.sparkContext.broadcast(lexicon)
 
