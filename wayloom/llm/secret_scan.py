@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, then a random forest that removes false positives.
 
-Candidates are runs of 16 or more key-like characters with enough variety, and runs of any length that a secret word is
-tied to (password=, token: ); a run ends at an inner '=', so that a key's name stands before the candidate. Each becomes a vector: length, character
+Candidates are all runs of 16 or more key-like characters, and what a secret word is tied to (password=, token: ), whatever it is made of: up to the closing
+quote, or to white space where there is none. A run ends at an inner '=', so that a key's name stands before the candidate; a tied value ends where the next key of a query or a connection string begins. Each becomes a vector: length, character
 transitions (between lower, upper, digit and other, and those that a bigram table finds usual in prose), dictionary coverage,
 whether it is part of a path, URL or e-mail address, and what the words before it say. The forest (Spark ML) is trained
 on labelled findings; ``labelled_findings`` makes the bundled set from known key formats and their usual look-alikes, with a
@@ -29,7 +29,10 @@ from .words import slices
 #: A run, with base64's padding if nothing key-like follows that.
 _RUN = r"(?<![A-Za-z0-9+/_\-.])[A-Za-z0-9+/_\-.]{%s}(?![A-Za-z0-9+/_\-.])(?:={1,2}(?![A-Za-z0-9+/_\-.=]))?"
 CANDIDATE = re.compile(_RUN % "14,")
-TIED = re.compile(r"(?:[:=>]|\bis)\s*[\"'`]?(" + _RUN % "1," + ")")
+#: What ties a value to the word before it, and the value: in quotes, or up to white space, a tag or the next key.
+TIE = re.compile(r"(?:[:=>]|\bis\s)\s*(?=\S)")
+VALUE = re.compile(r"\"([^\"\n]+)(?=\")|'([^'\n]+)(?=')|`([^`\n]+)(?=`)|[\"'`]?((?:(?![&;,]\w[\w.-]*=)[^\s<])+)")
+_LAST = ".,;:)]}>\"'`"
 SHORTEST = 16
 CONTEXT = 40
 THRESHOLD = 0.5
@@ -44,13 +47,13 @@ DICTIONARY = (
     "version update delete create build load save open close start stop time date year month day report document sample example common public local remote server client"
 ).split()
 _WORDS = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)))
-_SECRET_WORD = re.compile(r"(?i)(?:" + "|".join(SECRET_WORDS) + r")[\w\-]*[\"']?\s*(?:[:=]|\bis\b|=>)?\s*[\"'`]?$")
+_SECRET_WORD = re.compile(r"(?i)(?:" + "|".join(SECRET_WORDS) + r")[\w\-]*[\"']?\s*(?:[:=>]|\bis\b|=>)?\s*[\"'`]?$")
 _SECRET_NEAR = re.compile(r"(?i)\b\w*(?:" + "|".join(SECRET_WORDS) + r")\w*\b")
 _HARMLESS_NEAR = re.compile(r"(?i)\b(?:" + "|".join(HARMLESS_WORDS) + r")\b[\"']?\s*[:=]?\s*[\"'`]?$")
 _ASSIGNED = re.compile(r"[:=]\s*[\"'`]?$")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat_|sk[-_]|pk[-_]|rk[-_]|xox[abpr]-|AIza|eyJ|glpat-|npm_|ya29\.|SG\.")
-_KIND = np.zeros(128, np.int64)
+_KIND = np.zeros(256, np.int64)
 _KIND[[*range(97, 123)]], _KIND[[*range(65, 91)]], _KIND[[*range(48, 58)]] = 1, 2, 3
 _VOWELS = frozenset("aeiouAEIOU")
 
@@ -78,29 +81,43 @@ def describe(value: str, before: str, after: str) -> list[float]:
     ]
 
 
-def candidates_of(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of candidates: runs with a digit next to letters, or mixed case; a plain word, number or ruler isn't one.
+def tied_values(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the values that a secret word is tied to. A full stop, comma, colon, bracket or quote at the end isn't the value's; other marks are."""
+    for m in TIE.finditer(text):
+        begin = m.end()
+        if not _SECRET_WORD.search(text[max(0, begin - CONTEXT) : begin]):
+            continue
+        v = VALUE.match(text, begin)
+        if v is None:
+            continue
+        start, end = v.span(v.lastindex)
+        if v.lastindex == 4:
+            end = start + len(v.group(4).rstrip(_LAST))
+        if end > start:
+            yield start, end
 
-    What a secret word is tied to is one whatever it is made of.
-    """
-    spans = set()
+
+def candidates_of(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of candidates: runs of at least ``SHORTEST`` key-like characters, of whatever kind, and tied values, which count where both are. In order, none overlap."""
+    tied = sorted(set(tied_values(text)), key=lambda x: (x[0], -x[1]))
+    spans = []
     for m in CANDIDATE.finditer(text):
         value = m.group().strip(".=-_/") if not m.group().endswith("=") else m.group().lstrip(".-_/=")
-        if len(value) < SHORTEST:
-            continue
-        letters = any(c.isalpha() for c in value)
-        digits = sum(c.isdigit() for c in value)
-        mixed = any(c.islower() for c in value) and any(c.isupper() for c in value[1:])
-        if letters and (digits >= 2 or mixed) and len(set(value)) >= 8:
+        if len(value) >= SHORTEST:
             at = m.start() + m.group().index(value)
-            spans.add((at, at + len(value)))
-    for m in TIED.finditer(text):
-        value = m.group(1).rstrip(".")
-        if value and _SECRET_WORD.search(text[max(0, m.start(1) - CONTEXT) : m.start(1)]):
-            spans.add((m.start(1), m.start(1) + len(value)))
-    # a tied run can be found both ways
-    at = 0
-    for s, e in sorted(spans, key=lambda x: (x[0], -x[1])):
+            spans.append((at, at + len(value), 1))
+    at, rest = 0, []
+    for s, e in tied:
+        if s >= at:
+            rest.append((s, e, 0))
+            at = e
+    at, k = 0, 0
+    for s, e, kind in sorted(spans + rest, key=lambda x: (x[0], x[2])):
+        if kind == 1:
+            while k < len(rest) and rest[k][1] <= s:
+                k += 1
+            if k < len(rest) and rest[k][0] < e:
+                continue  # the tied value there is the candidate
         if s >= at:
             yield s, e
             at = e
@@ -108,7 +125,7 @@ def candidates_of(text: str) -> Iterator[tuple[int, int]]:
 
 def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = 20) -> DataFrame:
     """before, value, after, label: ``n`` findings, half of them real, of known formats and their usual look-alikes, and half as many
-    of long, short and tied ones (env files, query strings, unwrapped keys, passwords).
+    of long, short and tied ones (env files, query strings, unwrapped keys, passwords), and again of values with marks in them and of plain long runs.
 
     The formats are those of public key documentation; the values are random.
     """
@@ -172,6 +189,21 @@ def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = 20) -> Dat
         lambda: (prose(3) + " " + tied() + bind(), plain(), rng.choice((" ", ".", ",", "\n")) + prose(3)),
         lambda: (prose(3) + " " + tied() + rng.choice((" is ", ": ")), plain(), " " + prose(3)),
     ]
+    for k in range(n // 2):
+        rows.append((*rng.choice(real if k % 2 else fake)(), float(k % 2)))
+    # values with marks in them, keys of letters only, and the long plain runs that are none
+    marks = "!@#$%^*?-_+&"
+    strange = lambda: "".join(sorted(pick(alnum, rng.randint(4, 12)) + pick(marks, rng.randint(1, 4)), key=lambda _: rng.random()))
+    phrase = lambda: prose(5).strip() + rng.choice(("", ".", "?"))
+    real = [
+        lambda: (prose(3) + " " + tied() + bind().rstrip("\"'"), strange(), rng.choice(("\n", " ", ""))), lambda: (prose(3) + " " + tied() + rng.choice(('="', ' = "', ": '")), strange(), rng.choice(('"', "'")) + rng.choice(("\n", ",", ""))),
+        lambda: (prose(3) + " " + lead() + rng.choice((" ", " = ", ": ")), pick(alnum[26:52], rng.randint(24, 48)), " " + prose(2)), lambda: (prose(3) + " " + tied() + bind(), word().capitalize() + pick("0123456789", 2) + pick(marks, 1) + word(), rng.choice((" ", "\n"))),
+    ]
+    fake = [
+        lambda: (prose(3) + " ", "".join(word() for _ in range(rng.randint(6, 10))), rng.choice((" ", ".", ",")) + prose(2)), lambda: ("\n", rng.choice("-_./+") * rng.randint(16, 80), "\n"), lambda: (prose(2) + " ", pick("0123456789", rng.randint(16, 30)), " " + prose(2)),
+        lambda: (prose(3) + " " + tied() + rng.choice(('="', ' = "', ": '", ' is "')), phrase(), rng.choice(('"', "'")) + " "), lambda: (prose(2) + " " + tied() + bind(), rng.choice(("(optional)", "[none]", "<required>", "***", "...", "???", "%s", "{}", "$1", "null,")), " " + prose(2)),
+        lambda: (prose(3) + " " + tied() + rng.choice((": ", " is ")), "".join(word() for _ in range(rng.randint(2, 5))), " " + prose(3)),
+    ]
     for k in range(n // 2):
         rows.append((*rng.choice(real if k % 2 else fake)(), float(k % 2)))
     return spark.createDataFrame(rows, "before string, value string, after string, label double")
