@@ -243,13 +243,20 @@ def contamination(
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``documents``, whole, in which no window of any item occurs. Nothing is shuffled."""
+    """The rows of ``documents``, whole, in which no window of any item occurs. Nothing is shuffled; between two blocks of a large benchmark the rows are written, and the block's windows given back."""
     sc = documents.sparkSession.sparkContext
-    kept = documents
-    for items in _blocks(benchmark, block_bytes):
+    kept, blocks = documents, _blocks(benchmark, block_bytes)
+    items = next(blocks, None)
+    while items is not None:
         windows = Windows(items, size, shingle)
         sent = sc.broadcast(windows)
-        kept = _block_hits(kept, sent, sc.broadcast(windows.prefixes(shingle_counts(documents, sent))), clean_only=True)
+        prefixes = sc.broadcast(windows.prefixes(shingle_counts(documents, sent)))
+        before, kept = kept, _block_hits(kept, sent, prefixes, clean_only=True)
+        items = next(blocks, None)
+        if items is not None:
+            kept = written(kept, "clean")
+            dropped(before)
+            sent.unpersist(), prefixes.unpersist()
     return kept
 
 

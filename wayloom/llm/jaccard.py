@@ -1,10 +1,11 @@
 """Pairs of texts whose word-shingle sets have a Jaccard similarity of at least ``num / den``: an exact set-similarity join.
 
 Shingles have one order for all texts. Of two sets of the similarity asked for, the first n - ceil(t n) + 1 shingles of each (its prefix)
-have a shingle in common, whatever the order is; so texts meet by the shingles of their prefixes, and no pair is missed. Shingles
-that are frequent in a sample come last, most frequent at the end: this only keeps the groups small.
+have a shingle in common, whatever the order is; so texts meet by the shingles of their prefixes, and no pair is missed. The
+order is by rarity: every shingle of every text is counted in a hashed table of a fixed size, and the smallest counts come first. That two shingles share a cell only
+changes the order, which changes the groups' sizes but no result.
 
-* Texts with equal shingle sets are one class, by a 64-bit hash of the set.
+* Texts with equal shingle sets are one class, by a 64-bit hash of the set; that two sets with one hash are equal is taken for granted.
 * First every class of a group is held against the group's head, the class with the fewest shingles that no other text has; then, in
   groups that are not connected yet, each pair of classes of different components.
 * Each set has a sketch, the number of its shingles in each of some bins, which bounds from above what two sets can share: it rules most
@@ -30,8 +31,9 @@ from .words import LOWER, NOT_BLANK, buffer_of, joined_hashes, one_text, slices,
 
 SHINGLE = 5
 NUM, DEN = 4, 5
-#: Texts looked at, and shingles kept, for the order. Neither changes the result.
-SAMPLE, FREQUENT = 4_000, 1 << 16
+#: Cells of the table of counts, as a power of two: at most, and how many a text. Cells that travel together. Classes that a task remembers.
+CELL_BITS, CELLS_A_TEXT, CELLS_A_ROW = 20, 4, 1 << 10
+REMEMBERED = 1 << 20
 
 
 def shingle_hashes(buf: np.ndarray, ends: np.ndarray, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -48,17 +50,41 @@ def shingle_hashes(buf: np.ndarray, ends: np.ndarray, shingle: int = SHINGLE) ->
     return out
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        sets = shingle_hashes(*buffer_of(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["s"])
+def _cells(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return ((hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _frequent(documents: DataFrame) -> np.ndarray:
-    every = max(1, documents.count() // SAMPLE)
-    some = documents.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
-    counts = some.mapInArrow(_exploded, "s bigint").groupBy("s").agg(F.count("*").alias("n")).filter("n > 2")
-    return np.array([r.s for r in counts.orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").collect()], np.int64)
+def rarity(documents: DataFrame) -> np.ndarray:
+    """How many texts hold the shingles of each cell: a table of at most 2 ** CELL_BITS counts over all documents, whatever their number.
+
+    Each task adds up its own table; tables travel in rows of ``CELLS_A_ROW`` cells and are added up as they come, so no task holds more than one table. Only the sum
+    (8 MB at most) comes to the driver.
+    """
+    bits = min(CELL_BITS, max(10, (documents.count() * CELLS_A_TEXT).bit_length()))
+    width = min(CELLS_A_ROW, 1 << bits)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << bits, np.int64)
+        for batch in slices(batches, most=1 << 20):
+            table += np.bincount(_cells(np.concatenate(shingle_hashes(*buffer_of(batch.column("text")))), bits), minlength=1 << bits)
+        rows = [(k, table[k * width : (k + 1) * width].tobytes()) for k in range(len(table) // width)]
+        for k in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 64]), (pa.int32(), pa.binary()))], names=["k", "cells"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, cells in zip(batch.column("k").to_pylist(), batch.column("cells")):
+                own = np.frombuffer(cells.as_buffer(), np.int64)
+                total[k] = total[k] + own if k in total else own.copy()
+        for k, cells in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([cells.tobytes()], pa.binary())], names=["k", "cells"])
+
+    shape = "k int, cells binary"
+    out = np.zeros(1 << bits, np.int64)
+    for r in documents.select(F.col("text").cast("string")).mapInArrow(counted, shape).repartition("k").mapInArrow(added, shape).toLocalIterator():
+        out[r.k * width : (r.k + 1) * width] = np.frombuffer(bytes(r.cells), np.int64)
+    return out
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -77,13 +103,12 @@ def most_shared(x: bytes, y: bytes) -> int:
     return int(np.minimum(u, v).sum())
 
 
-def with_prefixes(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, text, c (the class), n (distinct shingles), prefix, sketch. Texts without words are left out.
+def with_prefixes(documents: DataFrame, counts: np.ndarray) -> DataFrame:
+    """doc_id, text, c (the class), n (distinct shingles), prefix, sketch. Texts without words are left out. ``counts``: of ``rarity``, or empty.
 
     Of a task's rows of one class only the first has its prefix and sketch: however often a text is copied, it sends a task's worth of shingles at most.
     """
-    place = np.argsort(frequent)
-    known = frequent[place]
+    bits, sent = len(counts).bit_length() - 1, documents.sparkSession.sparkContext.broadcast(counts)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -98,11 +123,10 @@ def with_prefixes(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
                     prefixes.append(s[:0])
                     sketches.append(None)
                     continue
+                if len(seen) == REMEMBERED:
+                    seen.clear()
                 seen.add(classes[-1])
-                late = np.zeros(len(s), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    late = np.where(known[at] == s, len(known) - place[at], 0)
+                late = sent.value[_cells(s, bits)] if bits > 0 else np.zeros(len(s), np.int64)
                 prefixes.append(s[np.lexsort((s, late))][: len(s) - -(-len(s) * NUM // DEN) + 1])
                 sketches.append(sketch(s))
             at = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
@@ -179,7 +203,7 @@ def similar_links(documents: DataFrame) -> DataFrame:
     an id that stands in several rows stands for all their texts. An empty table gives no rows.
     """
     documents = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    made = written(with_prefixes(documents, _frequent(documents)).drop("text"), "prefixes")
+    made = written(with_prefixes(documents, rarity(documents)).drop("text"), "prefixes")
     # every class by its smallest document
     reps = written(made.groupBy("c").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")), "reps")
     entries = made.select("c", "n", F.size("prefix").alias("p"), F.posexplode("prefix").alias("i", "s"))
@@ -208,5 +232,7 @@ def similar_links(documents: DataFrame) -> DataFrame:
     between = near.unionByName(rest)
     for c in ("a", "b"):
         between = between.join(reps.select(F.col("c").alias(c), F.col("rep").alias(f"{c}_rep")), c)
+    for df in (met, shared, stars, named):
+        dropped(df)
     own = made.select("doc_id", "c").join(reps, "c").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     return own.unionByName(between.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))
