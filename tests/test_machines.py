@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 from collections import Counter
 
@@ -36,7 +37,9 @@ def _run(spark, tmp_path, parts: list[list[dict]], shape: str, through) -> Count
     half = len(parts) // 2
     for some in (range(half), range(half, len(parts))):
         for k in some:
-            (tmp_path / "in" / f"{k:03d}.json").write_text("\n".join(map(json.dumps, parts[k])))
+            file = tmp_path / "in" / f"{k:03d}.json"
+            file.write_text("\n".join(map(json.dumps, parts[k])))
+            os.utime(file, (1_700_000_000 + k, 1_700_000_000 + k))  # files are read by age
         read = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
         query = ma.append_to(through(read), str(tmp_path / "out"), str(tmp_path / "mark"))
         assert query.awaitTermination(240)
