@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import text as tx
-from ..operators.windows import latest_by, merged
+from ..operators.windows import latest_by, merged, nearest_ranks
 from ..sources import bindings as b
 from .registry import query
 
@@ -142,8 +142,7 @@ def mode_with_share(spark, d):
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, max(value) FILTER (k = greatest(1, ceil(0.5 * n))) AS p50, max(value) FILTER (k = greatest(1, ceil(0.95 * n))) AS p95, max(value) FILTER (k = greatest(1, ceil(0.99 * n))) AS p99, max(value) AS top FROM r GROUP BY event_type""")
 def latency_percentiles(spark, d):
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
-    return b.table(spark, d, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max("value").alias("top"))
+    return nearest_ranks(b.table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99, "top": 1.0})
 
 
 @query("""SELECT coalesce(a.k, n.k) AS k, coalesce(n.v, a.v) AS v, coalesce(n.s, a.s) AS s FROM (SELECT o_orderkey AS k, o_orderkey % 100 AS v, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 <> 0) a

@@ -8,6 +8,7 @@ from ..functions.geo import metres
 from ..operators import network as net
 from ..operators import raptor as rp
 from ..operators import search as se
+from ..operators.shared import written
 from ..operators.windows import latest_by, top_k
 from ..sources import bindings as b
 from .network import _EDGES, _NEAR, _OFF, M, _int, near_stops, timed_stops
@@ -34,8 +35,9 @@ dd AS (SELECT *, base + CASE WHEN d_m <= 450 THEN CASE category WHEN 'expreso' T
 
 def _parts(spark, d):
     ps, pt, q = b.pattern_stops(spark, d), b.patterns(spark, d).select("pattern_id", "route_id", "category"), b.trips_wanted(spark, d)
-    oc = se.candidates(near_stops(spark, d, name="dist"), ps, pt, "board")
-    dc = se.candidates(near_stops(spark, d, "d_lat", "d_lng", name="dist"), ps, pt, "alight")
+    # both are read several times
+    oc = written(se.candidates(near_stops(spark, d, name="dist"), ps, pt, "board"), "origins")
+    dc = written(se.candidates(near_stops(spark, d, "d_lat", "d_lng", name="dist"), ps, pt, "alight"), "destinations")
     asked = oc.select("qid", "pattern_id").union(dc.select("qid", "pattern_id")).distinct()
     return ps, pt, q, oc, dc, se.waits(asked, b.service_windows(spark, d), q, "habil")
 
@@ -92,7 +94,7 @@ def search_v2(spark, d):
 
 def _ranked(spark, d, k=12):
     ps, pt, q, oc, dc, wait = _parts(spark, d)
-    direct = se.direct(oc, dc, wait)
+    direct = written(se.direct(oc, dc, wait), "direct")
     transfer = se.with_transfer(oc, dc, wait, ps, pt, _links(spark, d, ps), direct)
     q = q.withColumn("straight_m", metres("o_lat", "o_lng", "d_lat", "d_lng"))
     fares = latest_by(b.fares(spark, d), ["code"], F.struct("valid_from", "fare_id"))
