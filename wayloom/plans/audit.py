@@ -42,12 +42,12 @@ def route_audit_summary(spark, d):
     return au.stop_audit_summary(_audit(spark, d), _listed(spark, d))
 
 
-@query(b.with_tables("routes", "patterns") + """, o AS (SELECT code, string_agg(DISTINCT direction || '-' || category, ',' ORDER BY direction || '-' || category) AS variants FROM patterns JOIN routes USING (route_id) WHERE CAST(code AS INT) % 7 <> 0 GROUP BY code), c AS (SELECT code, count(*) AS n FROM routes WHERE CAST(code AS INT) % 5 <> 0 GROUP BY code)
+@query(b.with_tables("routes", "patterns") + """, o AS (SELECT code, string_agg(DISTINCT direction || '-' || category, ',' ORDER BY direction || '-' || category) AS variants FROM patterns JOIN routes USING (route_id) WHERE CAST(regexp_extract(code, '[0-9]+$') AS INT) % 7 <> 0 GROUP BY code), c AS (SELECT code, count(*) AS n FROM routes WHERE CAST(regexp_extract(code, '[0-9]+$') AS INT) % 5 <> 0 GROUP BY code)
 SELECT code, variants, coalesce(n, 0) AS n_current, CASE WHEN variants IS NULL THEN 'extra' WHEN n IS NULL THEN 'missing' ELSE 'covered' END AS status FROM o FULL JOIN c USING (code)""")
 def coverage(spark, d):
-    r = b.routes(spark, d).select("route_id", "code")
-    official = b.patterns(spark, d).join(r, "route_id").filter(F.col("code").cast("int") % 7 != 0).select("code", F.concat_ws("-", "direction", "category").alias("variant"))
-    return au.coverage(official, r.filter(F.col("code").cast("int") % 5 != 0))
+    r, number = b.routes(spark, d).select("route_id", "code"), F.regexp_extract("code", "[0-9]+$", 0).cast("int")
+    official = b.patterns(spark, d).join(r, "route_id").filter(number % 7 != 0).select("code", F.concat_ws("-", "direction", "category").alias("variant"))
+    return au.coverage(official, r.filter(number % 5 != 0))
 
 
 @query(b.with_tables("patterns", "pattern_stops", "stops") + " SELECT (SELECT count(*) FROM stops WHERE coalesce(active, true)) AS stops, (SELECT count(*) FROM patterns) AS patterns, (SELECT count(*) FROM patterns WHERE category = 'expreso') AS expreso, (SELECT count(*) FROM patterns WHERE category = 'local') AS local_, (SELECT count(*) FROM pattern_stops) AS pattern_stops")
