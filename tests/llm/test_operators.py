@@ -277,7 +277,7 @@ def test_secrets(spark):
     texts = [f'set token = "{key}" now', f"commit {key} fixed it", *ODD]
     docs = documents(spark, texts)
     found = {r.doc_id: r for r in secret_scan.scan(docs, forest).collect()}
-    assert found[0].is_secret and found[0].value == key and not found[1].is_secret and set(found) <= {0, 1}
+    assert found[0].value == key and found[1].value == key and {k for k, r in found.items() if r.is_secret} == {0}  # a long run is a candidate whatever it is made of
     masked = {r.doc_id: r for r in secret_scan.masked(docs, forest).collect()}
     assert masked[0].text == 'set token = "[SECRET]" now' and masked[0].n_chars == len(masked[0].text)
     assert [masked[k].text for k in range(1, len(texts))] == texts[1:] and masked[0].fp == "mine"
