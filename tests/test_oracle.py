@@ -7,9 +7,14 @@ import pytest
 import wayloom.plans.access
 import wayloom.plans.audit
 import wayloom.plans.basics
+import wayloom.plans.context
+import wayloom.plans.decisions
+import wayloom.plans.drafts
 import wayloom.plans.edits
 import wayloom.plans.itineraries
 import wayloom.plans.journeys
+import wayloom.plans.legs
+import wayloom.plans.lines
 import wayloom.plans.live
 import wayloom.plans.matching
 import wayloom.plans.metrics
