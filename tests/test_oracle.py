@@ -19,7 +19,8 @@ import wayloom.plans.live
 import wayloom.plans.matching
 import wayloom.plans.metrics
 import wayloom.plans.network
-import wayloom.plans.ranking  # noqa: F401  each module registers its queries
+import wayloom.plans.ranking
+import wayloom.plans.summaries  # noqa: F401  each module registers its queries
 from wayloom.plans.registry import QUERIES, SQL
 
 from .oracle import difference
