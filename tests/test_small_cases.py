@@ -109,3 +109,20 @@ def test_geojson(spark, tmp_path):
     rows = geojson.features(spark, str(tmp_path / "a.json"))
     assert [(r.stop_id, r.name, r.lat, r.lng) for r in geojson.stops(rows, "id", "name").collect()] == [(7, "Uno", 9.8, -83.9)]
     assert {(r.route_id, r.part, r.pos, r.lat) for r in geojson.routes(rows, "id").collect()} == {("r1", 1, 1, 2.0), ("r1", 1, 2, 4.0), ("r2", 1, 1, 2.0), ("r2", 1, 2, 4.0), ("r2", 2, 1, 6.0)}
+
+
+def test_clock_minutes(spark):
+    from pyspark.sql import functions as F
+
+    from wayloom.functions.calendar import clock_minutes
+
+    texts = ["05:30", "5:07:59", "25:10:60", "07:08:x", "7", "", "x:10", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", clock_minutes(F.col("t")).alias("m")).orderBy("i").collect()
+    assert [r.m for r in rows] == [330, 307, 1511, 428, None, None, None, None]
+
+
+def test_bearing(spark):
+    from wayloom.functions.geo import bearing
+
+    rows = spark.createDataFrame([(0, 1.0, 0.0), (1, 0.0, 1.0), (2, -1.0, 0.0), (3, 0.0, -1.0), (4, None, 1.0)], "i int, lat double, lng double").select("i", bearing(0.0, 0.0, "lat", "lng").alias("b")).orderBy("i").collect()
+    assert [r.b for r in rows] == [0.0, 90.0, 180.0, -90.0, None]

@@ -46,6 +46,6 @@ def minute_of_day(ts) -> Column:
 
 
 def clock_minutes(text) -> Column:
-    """Minutes of ``hh:mm[:ss]``."""
-    parts = F.split(c(text), ":")
-    return parts[0].cast("int") * 60 + parts[1].cast("int")
+    """Minutes of ``hh:mm[:ss]``; hours may pass 24, whole minutes of seconds count, seconds that aren't a number don't. Null without a number of hours and minutes."""
+    number = lambda i: F.get(F.split(c(text), ":"), F.lit(i)).try_cast("int")
+    return number(0) * 60 + number(1) + F.coalesce(F.floor(number(2) / 60), F.lit(0)).cast("int")

@@ -79,6 +79,19 @@ def day_type_flag(spark, d):
     return b.table(spark, d, "orders").select("o_orderkey", cal.day_type(ts, F.col("o_orderkey") % 31 == 0).alias("day_type"), cal.minute_of_day(ts).alias("minute"))
 
 
+_CLOCKS = """SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN 'x:' || (o_orderkey % 60) WHEN o_orderkey % 11 = 0 THEN CAST(o_orderkey % 24 AS VARCHAR) ELSE lpad(CAST(o_orderkey % 30 AS VARCHAR), 2, '0') || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') || CASE o_orderkey % 3 WHEN 0 THEN ':' || (o_orderkey % 130) WHEN 1 THEN ':s' ELSE '' END END AS text FROM orders"""
+
+
+@query(f"SELECT o_orderkey, CAST(TRY_CAST(split_part(text, ':', 1) AS INT) * 60 + TRY_CAST(nullif(split_part(text, ':', 2), '') AS INT) + coalesce(TRY_CAST(nullif(split_part(text, ':', 3), '') AS INT) // 60, 0) AS INT) AS minutes FROM ({_CLOCKS})")
+def clock_times(spark, d):
+    """Times of day as text, some without minutes, some no time at all."""
+    k = F.col("o_orderkey")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    seconds = F.when(k % 3 == 0, F.concat(F.lit(":"), (k % 130).cast("string"))).when(k % 3 == 1, ":s").otherwise("")
+    text = F.when(k % 17 == 0, None).when(k % 13 == 0, F.concat(F.lit("x:"), (k % 60).cast("string"))).when(k % 11 == 0, (k % 24).cast("string")).otherwise(F.concat(two(k % 30), F.lit(":"), two(k % 60), seconds))
+    return b.table(spark, d, "orders").select("o_orderkey", cal.clock_minutes(text).alias("minutes"))
+
+
 _EASTER = """SELECT DISTINCT y, make_date(y, n // 31, n % 31 + 1) AS easter FROM (SELECT y, h + w - 7 * ((y % 19 + 11 * h + 22 * w) // 451) + 114 AS n FROM (
   SELECT y, h, (32 + 2 * ((y // 100) % 4) + 2 * ((y % 100) // 4) - h - (y % 100) % 4) % 7 AS w FROM (
   SELECT y, (19 * (y % 19) + y // 100 - (y // 100) // 4 - ((y // 100) - ((y // 100) + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS y FROM orders))))"""

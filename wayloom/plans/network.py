@@ -97,6 +97,12 @@ def line_length(spark, d):
     return _segments(spark, d).groupBy("pattern_id").agg(F.count("*").alias("n_segments"), F.round(F.sum("len_m"), 0).cast("bigint").alias("length_m"))
 
 
+@query(b.with_tables("stops", "pattern_stops") + _LINES + " SELECT pattern_id, CAST(row_number() OVER (PARTITION BY pattern_id ORDER BY seq) AS INT) AS seg_no, CAST(round(degrees(atan2(x2 - x1, y2 - y1))) AS INT) AS degrees FROM segs")
+def segment_bearings(spark, d):
+    """Which way each segment of a line heads: 0 is north, 90 east."""
+    return _segments(spark, d).select("pattern_id", "seg_no", F.round(geo.bearing("y1", "x1", "y2", "x2")).cast("int").alias("degrees"))
+
+
 @query(b.with_tables("stops", "pattern_stops") + _LINES.replace("segs AS MATERIALIZED", "segs AS") + f", prog AS (SELECT pattern_id, seq, {M('y1', 'x1', 'y2', 'x2')} AS m FROM pr) SELECT pattern_id, seq, CAST(round(sum(coalesce(m, 0)) OVER (PARTITION BY pattern_id ORDER BY seq), 1) * 10 AS BIGINT) AS progress_dm FROM prog")
 def cumulative_progress(spark, d):
     """Distance along a line in tenths of a metre; ``line_progress`` adds up whole metres."""
