@@ -48,18 +48,24 @@ def eta(routes: DataFrame, live: DataFrame) -> DataFrame:
     """route_id, matched, fresh, stale, wait_min, walk_min, eta_min, confidence of ``routes`` (route_id, code, route_name, dist_m) by live vehicles (driver_id, route, freshness).
 
     A vehicle serves a route if its text is the route's id or name, or holds its code, of whatever length. The last is an equi-join too: on the parts of the text
-    that are as long as some code.
+    that are as long as some code. Vehicles of one text and freshness are counted before, and so are met with codes, not with each route that has the code.
     """
     own = routes.select("route_id", "dist_m", _key("code").alias("code_key"), _key("route_name").alias("name_key"))
-    text = live.filter("freshness <> 'expired'").select("driver_id", "freshness", _key("route").alias("text"))
+    said = live.filter("freshness <> 'expired'").groupBy("driver_id", "freshness").agg(F.array_sort(F.collect_set(_key("route"))).alias("texts"))
+    text = said.groupBy("texts", "freshness").agg(F.count("*").alias("n")).withColumn("text", F.explode("texts"))
     n, coded = F.length("text"), own.filter("code_key <> ''")
     lengths = coded.agg(F.collect_set(F.length("code_key")).alias("_lengths"))  # one row, as many lengths as the longest code has characters at most
     cuts = F.flatten(F.transform("_lengths", lambda k: F.when(k <= n, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("text"), i, k))).otherwise(F.array().cast("array<string>"))))
-    by_part = text.crossJoin(F.broadcast(lengths)).withColumn("code_key", F.explode(F.array_distinct(cuts))).join(coded, "code_key").select("route_id", "driver_id", "freshness")
-    by_name = text.join(own.filter("name_key <> ''"), F.col("text") == F.col("name_key")).select("route_id", "driver_id", "freshness")
-    by_id = text.join(own.withColumn("id_key", F.col("route_id").cast("string")), F.col("text") == F.col("id_key")).select("route_id", "driver_id", "freshness")
-    met = by_part.unionByName(by_name).unionByName(by_id).distinct()
-    counts = met.groupBy("route_id").agg(F.count("*").alias("matched"), F.count_if(F.col("freshness") == "fresh").alias("fresh"))
+    by_part = text.crossJoin(F.broadcast(lengths)).withColumn("code_key", F.explode(F.array_distinct(cuts)))
+    # a route is its set of codes, mostly one: what is met by a code isn't counted again by a name or an id
+    codes = own.groupBy("route_id").agg(F.array_sort(F.collect_set(F.when(F.col("code_key") != "", F.col("code_key")))).alias("codes"))
+    by_code = by_part.join(codes.select("codes").distinct().withColumn("code_key", F.explode("codes")), "code_key").select("codes", "texts", "freshness", "n").distinct()
+    by_name = text.join(own.filter("name_key <> ''"), F.col("text") == F.col("name_key")).select("route_id", "texts", "freshness", "n")
+    by_id = text.join(own.withColumn("id_key", F.col("route_id").cast("string")), F.col("text") == F.col("id_key")).select("route_id", "texts", "freshness", "n")
+    others = by_name.unionByName(by_id).distinct().join(codes, "route_id").join(by_code, ["codes", "texts", "freshness"], "left_anti")
+    total = lambda rows, key: rows.groupBy(key).agg(F.sum("n").alias("matched"), F.sum(F.when(F.col("freshness") == "fresh", F.col("n")).otherwise(0)).alias("fresh"))
+    each = codes.join(total(by_code, "codes"), "codes").select("route_id", "matched", "fresh").unionByName(total(others, "route_id"))
+    counts = each.groupBy("route_id").agg(F.sum("matched").alias("matched"), F.sum("fresh").alias("fresh"))
     rows = own.join(counts, "route_id", "left").select("route_id", "dist_m", F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("fresh", F.lit(0)).alias("fresh")).withColumn("stale", F.col("matched") - F.col("fresh"))
     wait = F.when(F.col("stale") > 0, WAIT_STALE).otherwise(WAIT_NONE)
     for least, minutes in reversed(WAIT_FRESH):
