@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.llm import decontaminate, jaccard, language_id, mixing, secret_scan, simhash
+from wayloom.llm.words import small_batches
 from wayloom.operators.components import connected_components
 from wayloom.operators.shared import written
 
@@ -15,6 +16,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows come out as they went in, whatever their columns are called; null and repeated ids are judged by their texts alone. An empty table stays empty.
     """
+    small_batches(spark)
     model = language_id.fit(docs, ~language_id.in_fold("doc_id", 4, 2))
     judged = language_id.identify(docs.select("text", F.struct(*docs.columns).alias("_row")), model)
     known = (F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous")
@@ -27,6 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Two documents are linked if their fingerprints are (op2_simhash), or if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Rows
     that share an id are one document, of which the row with the smallest text stays (nulls first; then by all columns). Columns stay whatever they are called; an empty table stays empty.
     """
+    small_batches(spark)
     groups = written(simhash.near_duplicates(docs).select("doc_id", "component_id").distinct(), "fingerprint_groups")
     links = groups.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(jaccard.similar_links(docs.select("doc_id", "text")))
     hung = connected_components(links).filter("node <> component").select(F.col("node").alias("doc_id"))
@@ -43,12 +46,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs. Rows with null texts stay; null and repeated ids are judged row by row; an empty table, or an empty benchmark, changes nothing."""
+    small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return decontaminate.decontaminated(docs, benchmark)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with its secrets masked, and n_chars (if there) counted anew where that happened; all else, null texts too, as it was."""
+    small_batches(spark)
     return secret_scan.masked(docs, secret_scan.train(secret_scan.labelled_findings(spark)))
 
 

@@ -10,7 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
+#: Bytes that Spark sends a Python worker at a time.
+BATCH_BYTES = 4 << 20
 #: Bytes of text, and rows, that are worked on at a time; a longer text makes a slice of its own.
 SLICE_BYTES = 1 << 18
 SLICE_ROWS = 1 << 13
@@ -31,6 +34,17 @@ NOT_BLANK = byte_class(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 ALNUM = byte_class(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python workers in batches of about ``BATCH_BYTES``, or one longer row; a smaller setting stays.
+
+    Spark's own bound is 10,000 rows, whatever their size: with whole texts that is a task's share of the table at once, in buffers outside the heap and again in the worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in order, cut so that a slice holds at most ``rows`` rows, and ``most`` bytes of text or one row."""
     for batch in batches:
