@@ -33,3 +33,10 @@ def test_waits_of_the_latest_window(spark):
     asked = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1), (3, 1)], "qid bigint, pattern_id bigint")
     got = se.waits(asked, windows, spark.createDataFrame([(1, 65), (2, 10)], "qid bigint, minute int"), "habil")
     assert {(r.qid, r.pattern_id): (r.wait, r.headway) for r in got.collect()} == {(1, 1): (15, 30), (1, 2): (12, 24), (1, 3): (12, 24), (2, 1): (10, 20), (3, 1): (12, 24)}
+
+
+def test_candidates_are_not_broadcast(spark):
+    rows = queries()["search_direct"](spark, DATA)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "pattern_id" in x]  # the queries' own minutes may be
