@@ -127,6 +127,18 @@ def test_versions(spark):
     assert [got[1, e][1] for e in range(1, 9)] == [None, None, 3, 4, 3, 4, 4, 4]  # an undo of an undo is back at 4
 
 
+def test_long_log_in_one_pass(spark):
+    """Versions that all will be deleted, and restoring events that find nothing: the log moves once, and no event meets another's rows."""
+    log = [(1, 0, "apply", None)]
+    for e in range(1, 3000, 3):
+        log += [(1, e, "apply", None), (1, e + 1, "delete_version", e), (1, e + 2, "undo", None)]
+    rows = dr.geometry_log(spark.createDataFrame(log, "route_id bigint, event bigint, op string, version bigint").repartition(4))
+    got = {(r.route_id, r.event): (r.ok, r.shown) for r in rows.collect()}
+    assert got == _walk(log)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
 def test_as_of(spark):
     shown = spark.createDataFrame([(1, 1, 10, 1), (1, 2, 20, None), (1, 3, 20, 3), (2, 1, 5, 1)], "route_id bigint, event bigint, at int, shown bigint")
     asked = spark.createDataFrame([(1, 9, "a"), (1, 10, "b"), (1, 19, "c"), (1, 20, "d"), (1, 99, "e"), (1, 99, "e"), (3, 1, "f")], "route_id bigint, at int, tag string")

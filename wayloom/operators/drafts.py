@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .edits import dense_ids
-from .shared import dropped, written
+from .shared import written
 
 ACTIONS = ("create_stop", "move_stop", "rename_stop", "deactivate_stop", "attach_stop_to_route", "detach_stop_from_route")
 WAYS = ("ida", "vuelta", "loop")
@@ -100,57 +102,53 @@ def changed_patterns(before: DataFrame, after: DataFrame) -> DataFrame:
     return new.select("route_id", "direction", (F.col("i") + 1).alias("seq"), "x.stop_id", "x.board", "x.alight")
 
 
+def _replayed(batches):
+    """Batches of a log that lies by route and event, with ``ok`` and ``shown``: the geometry shown and the versions there are, carried from event to event."""
+    route, shown, versions, latest = (), None, {}, []
+    for batch in batches:
+        oks, showns = [], []
+        for r, event, op, version in zip(*(batch.column(c).to_pylist() for c in ("route_id", "event", "op", "version"))):
+            if r != route:
+                route, shown, versions, latest = r, None, {}, []
+            was, ok, makes = shown, False, False
+            if op == "apply":
+                shown, ok, makes = event, True, was is not None
+            elif op == "backup":
+                ok = makes = was is not None
+            elif op == "delete_version":
+                ok = versions.pop(version, None) is not None
+            elif op in ("restore", "undo"):
+                if op == "undo":
+                    while latest and latest[-1] not in versions:  # deleted since
+                        latest.pop()
+                    version = latest[-1] if latest else None
+                if version in versions:
+                    shown, ok, makes = versions[version], True, True
+            if makes:
+                versions[event] = was
+                latest.append(event)
+            oks.append(ok)
+            showns.append(shown)
+        kept = [c for c in batch.schema.names if c != "version"]
+        columns = [batch.column(c) for c in kept] + [pa.array(oks, pa.bool_()), pa.array(showns, batch.schema.field("event").type)]
+        yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ok", "shown"])
+
+
 def geometry_log(log: DataFrame) -> DataFrame:
-    """``log`` with ``shown``, the apply whose geometry the route has after the event (its event number; null: none), and ``ok``, whether the event did anything.
+    """``log`` with ``shown``, the apply whose geometry the route has after the event (its event number; null: none), and ``ok``, whether the event did anything. Other columns stay.
 
     ``log``: route_id, event (a number from 0 on that orders a route's events), op, version. What an event replaces is kept as a version under the event's own number: ``apply`` (if the route has a
     geometry), ``backup`` and every restoring event make one. ``restore`` shows the version again, ``undo`` the latest version there is, ``delete_version`` deletes one. An
     event that names no version, one that isn't there yet or was deleted, or that finds none to undo, does nothing; so does a backup of nothing.
 
-    An event shows what its pointer shows: an apply itself, a restoring event what was shown before the version was made, any other what was shown before it. The pointers are followed by
-    doubling, so a chain of n takes log2(n) joins. Which restoring events find nothing depends on earlier ones only: it is assumed, looked at, and corrected until it holds, in most logs once. Which version is the latest takes deletions into account without a range join: of versions that will be deleted, only those
-    after the last one that never is can be it.
+    The log is dealt out by route and sorted by event, and each route's events are gone through once, as a stream: a task holds a batch of rows and, of one route at a time, two numbers a
+    version that is there. Every event takes the same small work, however long the log is.
     """
-    w = W.partitionBy("route_id").orderBy("event")
-    past = w.rowsBetween(W.unboundedPreceding, -1)
-    own = log.select("route_id", "event", "op", "version").withColumns({"_prev": F.lag("event").over(w), "_has": F.coalesce(F.max(F.col("op") == "apply").over(past), F.lit(False))})
-    own = written(own, "log")
-    void = own.filter("false").select("route_id", "event")  # restoring events known to find nothing
-    while True:
-        live = own.join(void.withColumn("_void", F.lit(True)), ["route_id", "event"], "left")
-        makes = (F.col("op").isin("apply", "backup") & F.col("_has")) | (F.col("op").isin("restore", "undo") & F.col("_void").isNull())
-        made = live.filter(makes).select("route_id", F.col("event").alias("version"))
-        deleted = own.filter("op = 'delete_version' AND version < event").join(made, ["route_id", "version"], "left_semi").groupBy("route_id", "version").agg(F.min("event").alias("_gone"))
-        life = made.join(deleted, ["route_id", "version"], "left")
-        seen = live.join(life.select("route_id", F.col("version").alias("event"), F.lit(True).alias("_made"), "_gone"), ["route_id", "event"], "left")
-        lasting = F.last(F.when(F.col("_made") & F.col("_gone").isNull(), F.col("event")), ignorenulls=True).over(past)
-        seen = seen.withColumn("_last", lasting)
-        none = F.coalesce("_last", F.lit(-1).cast("bigint")).alias("_last")  # before any lasting version
-        short = seen.filter("_gone IS NOT NULL").select("route_id", none, F.col("event").cast("bigint").alias("_f"), F.col("_gone").alias("_until"))
-        undo = seen.filter("op = 'undo'").select("route_id", "event", none)
-        held = undo.join(short, ["route_id", "_last"]).filter("_f < event AND event < _until").groupBy("route_id", "event").agg(F.max("_f").alias("_f"))
-        latest = undo.join(held, ["route_id", "event"], "left").select("route_id", "event", F.coalesce("_f", F.when(F.col("_last") >= 0, F.col("_last"))).alias("_target"))
-        there = life.select("route_id", "version", F.col("_gone").alias("_until"))
-        restored = own.filter("op = 'restore'").join(there, ["route_id", "version"]).filter("version < event AND (_until IS NULL OR event < _until)").select("route_id", "event", F.col("version").alias("_target"))
-        target = written(latest.filter("_target IS NOT NULL").unionByName(restored), "targets")
-        now = written(own.filter("op IN ('restore', 'undo')").join(target, ["route_id", "event"], "left_anti").select("route_id", "event"), "void")
-        if not now.join(void, ["route_id", "event"], "left_anti").count() + void.join(now, ["route_id", "event"], "left_anti").count():
-            break
-        void = now
-    found = live.join(target, ["route_id", "event"], "left").join(own.select("route_id", F.col("event").alias("_target"), F.col("_prev").alias("_shown_before")), ["route_id", "_target"], "left")
-    gone = own.filter("op = 'delete_version'").join(deleted.select("route_id", "version", F.col("_gone").alias("event"), F.lit(True).alias("_deletes")), ["route_id", "version", "event"], "left").select("route_id", "event", "_deletes").filter("_deletes")
-    found = found.join(gone, ["route_id", "event"], "left")
-    ok = F.when(F.col("op") == "apply", True).when(F.col("op") == "backup", F.col("_has")).when(F.col("op") == "delete_version", F.col("_deletes").isNotNull()).otherwise(F.col("_target").isNotNull())
-    to = F.when(F.col("op") == "apply", F.col("event")).when(F.col("_target").isNotNull(), F.col("_shown_before")).otherwise(F.col("_prev"))
-    jump = written(found.select("route_id", "event", "op", F.coalesce(ok, F.lit(False)).alias("ok"), to.alias("to"), (F.col("op") == "apply").alias("_end")), "shown")
-    while True:
-        far = jump.select("route_id", F.col("event").alias("to"), F.col("to").alias("_to"), F.col("_end").alias("_done"))
-        new = written(jump.join(far, ["route_id", "to"], "left").select("route_id", "event", "op", "ok", F.col("_to").alias("to"), F.coalesce("_done", F.lit(True)).alias("_end")), "shown")
-        dropped(jump)
-        jump = new
-        if not jump.filter("NOT _end").limit(1).count():
-            break
-    return jump.select("route_id", "event", "op", "ok", F.col("to").alias("shown"))
+    spread = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lying = log.repartition(spread, "route_id").sortWithinPartitions("route_id", "event")
+    fields = [f for f in log.schema.fields if f.name != "version"]
+    shape = T.StructType([*fields, T.StructField("ok", T.BooleanType()), T.StructField("shown", log.schema["event"].dataType)])
+    return lying.mapInArrow(_replayed, shape)
 
 
 def geometry_as_of(shown: DataFrame, instants: DataFrame) -> DataFrame:

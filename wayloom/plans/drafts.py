@@ -90,8 +90,7 @@ def _shown(spark, d):
     op = F.element_at(F.array(*map(F.lit, _OPS)), ((k * 5 + seq * 3 + s) % 8 + 1).cast("int"))
     ev = b.pattern_stops(spark, d).select((k % 500).alias("route_id"), k, seq, s, op.alias("op")).withColumn("event", F.row_number().over(W.partitionBy("route_id").orderBy("seq", "pattern_id")).cast("bigint"))
     version = F.when(F.col("op").isin("restore", "delete_version") & (s % 9 != 0), F.greatest(F.lit(0), F.col("event") - 1 - s % 6))
-    log = written(ev.select("route_id", "event", "op", version.alias("version"), (F.col("event") * 10 + F.col("route_id") % 7).alias("at")), "events")
-    return dr.geometry_log(log).join(log.select("route_id", "event", "at"), ["route_id", "event"])
+    return dr.geometry_log(ev.select("route_id", "event", "op", version.alias("version"), (F.col("event") * 10 + F.col("route_id") % 7).alias("at")))
 
 
 @query(b.with_tables("pattern_stops") + _LOG + " SELECT route_id, event, op, ok, shown FROM sh")
