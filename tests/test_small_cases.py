@@ -126,3 +126,12 @@ def test_bearing(spark):
 
     rows = spark.createDataFrame([(0, 1.0, 0.0), (1, 0.0, 1.0), (2, -1.0, 0.0), (3, 0.0, -1.0), (4, None, 1.0)], "i int, lat double, lng double").select("i", bearing(0.0, 0.0, "lat", "lng").alias("b")).orderBy("i").collect()
     assert [r.b for r in rows] == [0.0, 90.0, 180.0, -90.0, None]
+
+
+def test_arcs_gather_a_pattern_once(spark):
+    """The stops of a pattern are sorted and gathered in one aggregate; no window sorts them again, and the arcs aren't gathered from rows."""
+    rows = spark.createDataFrame([(1, k, s) for k, s in enumerate([1, 1, 2, 3, 2, 4])] + [(2, 0, 5), (2, 1, 5)], "pattern_id bigint, seq int, stop_id bigint")
+    got = tt.arc_lists(rows, spark.createDataFrame([(s, 9.0 + s, -84.0) for s in range(1, 6)], "stop_id bigint, lat double, lng double"))
+    assert [(r.pattern_id, r.reason, [[x.stop_id for x in a] for a in r.arcs]) for r in got.collect()] == [(1, "revisit", [[1, 2, 3], [3, 2, 4]])]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Window" not in plan
