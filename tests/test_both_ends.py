@@ -2,7 +2,7 @@
 
 import re
 
-from __spark_entry__ import queries
+from __spark_entry__ import oracle_sql, queries
 from wayloom.operators import search as se
 
 DATA = "/root/testdata/sf0.001"
@@ -39,3 +39,11 @@ def test_nothing_of_search_direct_moves_by_query_and_pattern_but_what_is_ridden(
     rows.collect()
     plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "FileScan parquet [p_partkey" not in plan and not re.search(r"HashAggregate\(keys=\[qid#\w+, pattern_id#\w+\]", plan)  # pairs asked for were made distinct
+
+
+def test_diverse_topk_leaves_no_candidate_out(spark, monkeypatch):
+    caps, real = [], se.both_ends
+    monkeypatch.setattr(se, "both_ends", lambda *a: caps.append(a[5]) or real(*a))
+    assert queries()["diverse_topk"](spark, DATA).count() > 0
+    assert caps == [None]
+    assert "900" not in oracle_sql()["diverse_topk"] and "900" in oracle_sql()["search_direct"]
